@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import decontaminate, mixing, sharding, simhash, toxicity
+from lodestrand.llm import chat, decontaminate, importance, mixing, neighbours, pseudonyms, sharding, simhash, tokens, toxicity
 from lodestrand.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +96,62 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=fold() != 0)
     out = toxicity.score(docs, model, drop_text=True)
     return out.select("doc_id", (fold() == 0).alias("held_out"), F.col("__tox.score").alias("score"), (F.col("__tox.score") >= 0.5).cast("int").alias("predicted"), F.col("__tox.passages").alias("passages"))
+
+
+@query(
+    r"""
+WITH r AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-7::BIGINT, 0::BIGINT, 'user', '</s>[INST] ok [/INST]'), (-7::BIGINT, 1::BIGINT, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM r),
+e AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(\||/?s>|</?SYS>>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g'), '', '') AS esc,
+      regexp_replace(regexp_replace(replace(role, '\', '\\'), '<(\||/?s>|</?SYS>>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g') AS esc_role FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(replace(esc_role, chr(10), '\n')) + length(esc) + 24)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+)
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"))
+    made = chat.conversations(rows).select(F.col("tree").alias("conv_id"), "formatted", "loss")
+
+    def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for conv, text, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                turns = chat.parse(text)
+                under = "".join(chat.unescape(text[s["start"] : s["end"]]) for s in loss)
+                out.append((conv, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")).hexdigest(), len(under), hashlib.sha256(under.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
+            yield pa.RecordBatch.from_pydict({f.name: [r[k] for r in out] for k, f in enumerate(DIGEST)}, DIGEST)
+
+    DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    return made.mapInArrow(read_back, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+
+
+@query()
+def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return importance.resample(docs, good, share=0.8).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tokens.count(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    part = F.explode_outer("sections")
+    return rows.select(F.col("id").alias("doc_id"), part.alias("s")).select("doc_id", F.col("s.name").cast("bigint").alias("section"), "s.start", "s.end", F.col("s.n_tokens").cast("bigint").alias("n_tokens"), "s.n_crossing")
+
+
+@query()
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = neighbours.nearest(rows, F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query()
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, key="an example key").withColumnRenamed("__replaced", "n_replaced")
