@@ -107,7 +107,7 @@ def pseudonym(value: Column, kind: Column, key: str, inverse: bool = False) -> C
     number = refill(value, let(permute_digits(payload, key, "luhn", inverse), lambda new: F.concat(new, F.pmod(check_digit(new) + off, F.lit(10)).cast("string"))))
     national = F.substring(digits, n - 9, F.lit(10))
     phone = refill(value, F.concat(F.substring(digits, F.lit(1), n - 10), permute_digits(national, key, "phone", inverse)))
-    octets = F.transform(F.split(value, r"\."), lambda x: x.cast("int"))
+    octets = F.transform(F.split(value, r"\."), lambda x: x.try_cast("int"))
     moved = feistel(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], F.lit(65536).cast("bigint"), F.lit(65536).cast("bigint"), key, F.lit("address"), inverse)
     address = let(moved, lambda m: F.concat_ws(".", *[x.cast("string") for x in (F.floor(m["a"] / 256), m["a"] % 256, F.floor(m["b"] / 256), m["b"] % 256)]))
     def shown(form: str):
@@ -128,7 +128,7 @@ def pseudonym(value: Column, kind: Column, key: str, inverse: bool = False) -> C
         F.when(kind == "email", name)
         .when(kind == "secret", F.substring(hashed, F.lit(1), F.length(value)))
         .when(kind == "date", date)
-        .when((kind == "address") & F.forall(octets, lambda x: x < 256), address)
+        .when(kind == "address", F.when(F.forall(octets, lambda x: x < 256), address).otherwise(plain))
         .when((kind == "phone") & (n >= 10), phone)
         .when(kind == "number", number)
         .otherwise(plain)
@@ -151,9 +151,10 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     gives the same pseudonym in every document, so records stay linked; who has no key can't go
     back. All expressions run in the JVM, row by row, without a shuffle. Null texts stay null.
     """
-    every = "|".join(f"(?:{p})" for p in _renumbered())
+    every = _alternation()
     text = F.col(text_col)
-    hits = F.regexp_extract_all(text, F.lit(every), F.lit(0))
+    # Every kind of value has a digit or an @: texts without one needn't be searched.
+    hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(every), F.lit(0))).otherwise(F.array().cast("array<string>"))
     between = F.split(text, every, -1)
     # Not a lambda over both arrays' zip: each hit is computed once, from its own value.
     new = F.transform("__hits", lambda v: let(kind_of(v), lambda kind: pseudonym(v, kind, key)))
@@ -163,6 +164,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     return rows.withColumn("__replaced", F.greatest(F.size("__hits"), F.lit(0)).cast("bigint")).drop("__hits")
 
 
-def _renumbered() -> list[str]:
-    """The patterns for one alternation, in which the only group that is referred back to is the first."""
-    return [p.replace("([ -])", "(?<gap>[ -])").replace(r"\1", r"\k<gap>") for p in PATTERNS.values()]
+def _alternation() -> str:
+    """All patterns in one; those of numbers behind a look at the first character, which rules out most places.
+
+    The only group that is referred back to gets a name.
+    """
+    named = {k: p.replace("([ -])", "(?<gap>[ -])").replace(r"\1", r"\k<gap>") for k, p in PATTERNS.items()}
+    words = [named.pop(k) for k in ("email", "secret")]
+    return "|".join([*words, f"(?=[0-9+(])(?:{'|'.join(named.values())})"])
