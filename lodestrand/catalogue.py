@@ -1,5 +1,6 @@
 """All queries of the library; importing the plans registers them."""
 
+from lodestrand.plans import scans, sequences
 from lodestrand.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "scans", "sequences"]
