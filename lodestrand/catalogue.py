@@ -1,6 +1,6 @@
 """All queries of the library; importing the plans registers them."""
 
-from lodestrand.plans import scans, sequences
+from lodestrand.plans import relational, rules, scans, sequences, texts
 from lodestrand.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "scans", "sequences"]
+__all__ = ["ORACLES", "QUERIES", "relational", "rules", "scans", "sequences", "texts"]
