@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 CODECS = {"zlib": (zlib.compress, zlib.decompress), "gzip": (gzip.compress, gzip.decompress), "bz2": (bz2.compress, bz2.decompress), "lzma": (lzma.compress, lzma.decompress)}
 
@@ -182,13 +183,13 @@ def token_bucket(rows: DataFrame, key: str, rate: float, burst: float, seconds:
     return rows.select(key, order, seconds).groupBy(key).applyInPandas(run, f"{key} bigint, {order} bigint, allowed boolean")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def commitment(vector: pd.Series, text: pd.Series, nonce: pd.Series) -> pd.Series:
     """SHA-256 over a vector's float32 bytes, the text and a nonce."""
     return pd.Series([hashlib.sha256(np.asarray(v, np.float32).tobytes() + t.encode() + n.encode()).hexdigest() for v, t, n in zip(vector, text, nonce, strict=True)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def digest_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     """Cosine of two names' SHA-256 digests read as bytes around zero: a number from names alone, never NaN."""
 
