@@ -1,6 +1,6 @@
 """All queries of the library; importing the plans registers them."""
 
-from lodestrand.plans import pythonic, relational, rules, scans, sequences, texts
+from lodestrand.plans import proofs, pythonic, relational, rules, scans, sequences, texts
 from lodestrand.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "pythonic", "relational", "rules", "scans", "sequences", "texts"]
+__all__ = ["ORACLES", "QUERIES", "proofs", "pythonic", "relational", "rules", "scans", "sequences", "texts"]

@@ -73,13 +73,13 @@ def shares(rows: DataFrame, id_col: str, secret_col: str, n: int, threshold: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for ident, secret in zip(pdf[id_col], pdf[secret_col], strict=True):
+            for ident, secret in zip(pdf["id"], pdf["secret"], strict=True):
                 poly = _coefficients(int(secret), threshold, salt)
                 out += [(ident, x, str(sum(c * pow(x, k, PRIME) for k, c in enumerate(poly)) % PRIME)) for x in range(1, n + 1)]
             yield pd.DataFrame(out, columns=["id", "x", "y"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, secret_col).mapInPandas(run, f"id {kind}, x bigint, y string")
+    return rows.select(F.col(id_col).alias("id"), F.col(secret_col).alias("secret")).mapInPandas(run, f"id {kind}, x bigint, y string")
 
 
 def reconstruct(points: DataFrame) -> DataFrame:

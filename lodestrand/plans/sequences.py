@@ -14,7 +14,7 @@ from lodestrand.registry import query
 from lodestrand.tables import SQL_V, blocks, load, micros, versions
 
 
-@query("SELECT doc_id, sha256(text) AS content_hash, sha256(unhex(sha256(text)) || encode(lang)) AS block_hash FROM documents")
+@query("SELECT doc_id, sha256(text) AS content_hash, sha256(unhex(sha256(text)) || encode(lang)) AS block_hash FROM documents", name="content_hash")
 def content_hashes(spark: SparkSession, d: str) -> DataFrame:
     return blocks(spark, d).select(F.col("seq").alias("doc_id"), content_hash(F.col("data")).alias("content_hash"), content_hash(F.col("data"), F.col("lang")).alias("block_hash"))
 
