@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -11,7 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import WORDS, cut, unit_hash
+from lodestrand.llm.common import cut, unit_hash
+
+#: Tokens: runs of letters, digits and non-ASCII bytes, and runs of marks. Case and marks tell much of a text's kind.
+TOKEN = rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x00-\x20]+"
 
 #: Buckets that unigrams and bigrams are hashed into.
 BUCKETS = 1 << 14
@@ -30,8 +34,8 @@ class _Hashes(dict):
 
 
 def ngrams(text: str | None, hashes: _Hashes, buckets: int = BUCKETS) -> np.ndarray:
-    """Bucket numbers of a text's words and word pairs, repeats included."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(WORDS).split()
+    """Bucket numbers of a text's tokens and pairs of tokens, repeats included."""
+    words = re.findall(TOKEN, (text or "").encode("utf-8", "surrogatepass"))
     one = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     two = (one[:-1] * np.uint64(0x9E3779B1) + one[1:] * np.uint64(0x85EBCA6B)) >> np.uint64(7)
     return (np.concatenate([one, two]) % np.uint64(buckets)).astype(np.int64)
@@ -66,11 +70,11 @@ def models(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     return np.log(counted[1] / counted[1].sum()) - np.log(counted[0] / counted[0].sum())
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, temperature: float = 0.05) -> DataFrame:
+def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, temperature: float = 0.03) -> DataFrame:
     """(id, n_grams, log_weight, key) for each row of docs.
 
     log_weight is the mean log-ratio of the text's n-grams over the temperature, so that long texts
-    don't win by length alone; 0 for texts without words. key adds Gumbel noise from a hash of
+    don't win by length alone; 0 for texts without tokens. key adds Gumbel noise from a hash of
     seed, id and text: the k largest keys are a sample without replacement by weight.
     """
     shared, buckets = docs.sparkSession.sparkContext.broadcast(ratio), len(ratio)
@@ -124,7 +128,7 @@ def top_k(rows: DataFrame, k: int, key: str = "key", bits: int = 12) -> DataFram
 def resample(docs: DataFrame, target: DataFrame, share: float, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
     """(id, n_grams, log_weight, key) of the sampled rows: ``share`` of all, by importance.
 
-    Null texts have no words; rows with null ids take part; repeated rows are rows of their own. An
+    Null texts have no tokens; rows with null ids take part; repeated rows are rows of their own. An
     empty table gives no rows; without any target all weights say how common a text's n-grams are.
     """
     rows = cut(weigh(docs, models(docs, target, id_col, text_col), id_col, text_col, seed))
