@@ -95,7 +95,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=fold() != 0)
     out = toxicity.score(docs, model, drop_text=True)
-    return out.select("doc_id", (fold() == 0).alias("held_out"), F.col("__tox.score").alias("score"), (F.col("__tox.score") >= 0.5).cast("int").alias("predicted"), F.col("__tox.passages").alias("passages"))
+    return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), F.col("__tox.score").alias("score"), (F.col("__tox.score") >= 0.5).cast("int").alias("predicted"), F.col("__tox.passages").alias("passages"))
 
 
 @query(
@@ -134,7 +134,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return importance.resample(docs, good, share=0.8).withColumnRenamed("id", "doc_id")
+    return importance.resample(docs, good, share=0.85).withColumnRenamed("id", "doc_id")
 
 
 @query()

@@ -116,7 +116,7 @@ class Model:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * evidence + self.offset))))
 
 
-def _weights_from(counts: list[tuple[bytes, int, int]], toxic: int, clean: int, prior: float = 4.0, width: float = 2.0) -> dict[bytes, float]:
+def _weights_from(counts: list[tuple[bytes, int, int]], toxic: int, clean: int, prior: float = 10.0, width: float = 3.0) -> dict[bytes, float]:
     """Lower bounds of the features' log-odds. counts: (feature, toxic documents, clean documents).
 
     A feature's rate has a Dirichlet prior of ``prior`` documents divided as the counts of its next
