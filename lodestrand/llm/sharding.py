@@ -28,10 +28,13 @@ def _directory(hist: DataFrame, base: int, bits: int, limit: int) -> DataFrame:
     document, which can't be split), null if none up to base + bits does. Never below base, as the
     bucket of base bits is known to be too large.
     """
+    hist = cut(hist)
+    size = hist.count()
     every = hist.withColumn("depth", F.explode(F.sequence(F.lit(base), F.lit(base + bits))))
     every = every.withColumn("bucket", F.expr(f"shiftright(entry, {base + bits} - depth)"))
     fits = every.groupBy("depth", "bucket").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).where((F.col("bytes") <= limit) | (F.col("n") == 1)).select("depth", "bucket")
-    found = every.select("entry", "depth", "bucket").join(fits, ["depth", "bucket"]).groupBy("entry").agg(F.min("depth").alias("depth"))
+    # Shallow buckets hold all entries: a join by bucket would gather them in one task unless the other side is sent about.
+    found = every.select("entry", "depth", "bucket").join(small_side(fits, size * (bits + 1), BROADCAST_ROWS), ["depth", "bucket"]).groupBy("entry").agg(F.min("depth").alias("depth"))
     return hist.select("entry").join(found, "entry", "left")
 
 
