@@ -70,13 +70,14 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     are interchangeable. An empty table gives no rows.
     """
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.withColumns({"__size": word_count(F.col(text_col).cast("string")), "__key": F.when(F.col(source_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source_col))), "__order": order, "__bucket": F.substring(order, 1, BUCKET_DIGITS)})
-    sums = rows.groupBy("__key", "__bucket").agg(F.first(source_col).alias("source"), F.sum("__size").alias("bucket_size"))
+    rows = docs.withColumns({"__size": word_count(F.col(text_col).cast("string")), "__key": F.when(F.col(source_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source_col))), "__order": order, "__bucket": F.substring(order, 1, BUCKET_DIGITS), "__tie": F.xxhash64(text_col)})
+    sums = rows.groupBy("__key", "__bucket").agg(F.sum("__size").alias("bucket_size"))
     sums = sums.withColumn("before", F.sum("bucket_size").over(Window.partitionBy("__key").orderBy("__bucket")) - F.col("bucket_size"))
-    whole = targets(sums.groupBy(F.col("__key").alias("key")).agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size")), weights, most)
+    sizes = sums.groupBy(F.col("__key").alias("key")).agg(F.sum("bucket_size").alias("source_size"))
+    whole = targets(sizes.withColumn("source", F.when(F.col("key") != "", F.substr("key", F.lit(2)))), weights, most)
     known = sums.join(whole, sums["__key"] == whole["key"]).select(sums["__key"].alias("k"), sums["__bucket"].alias("b"), "before", "source_size", "class", "target")
     rows = rows.join(known, (rows["__key"] == known["k"]) & (rows["__bucket"] == known["b"]))
-    place = Window.partitionBy("__key", "__bucket").orderBy("__order", "__size", F.xxhash64(text_col))
+    place = Window.partitionBy("__key", "__bucket").orderBy("__order", "__size", "__tie")
     rows = rows.withColumn("__start", F.col("before") + F.sum("__size").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"))
     full = F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))
     extra = (F.col("__start") + F.col("__size") / 2) < F.col("target") - full * F.col("source_size")

@@ -63,7 +63,8 @@ FROM c
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows = mixing.plan(docs).select("doc_id", "__mix.size", "__mix.source_size", "__mix.target", (F.col("__mix.copies") * F.col("__mix.size")).alias("taken"), F.round(F.get("__mix.positions", F.lit(0)), 6).alias("first_position"))
-    return rows.repartitionByRange("first_position").sortWithinPartitions("first_position")
+    # Documents that the mix leaves out have no position; their ids spread them.
+    return rows.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
 @query(
