@@ -93,14 +93,22 @@ def fidelity(original: Column, other: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    low = F.lower(text)
-    n = F.length(low)
-    return F.when(n < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))))
+    """Distinct runs of three characters, lower-cased; the characters are taken apart once, so the work is linear."""
+
+    def of(c: Column) -> Column:
+        pairs = F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda x, y: F.concat(x, y))
+        return F.array_distinct(F.filter(F.zip_with(pairs, F.slice(c, F.lit(3), F.size(c)), lambda x, y: F.concat(x, y)), lambda g: g.isNotNull()))
+
+    return F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0))), of)[0]
 
 
 def trigram_jaccard(a: Column, b: Column) -> Column:
-    x, y = trigrams(a), trigrams(b)
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y)).cast("double")), F.lit(0.0))
+
+    def of(z: Column) -> Column:
+        both = F.size(F.array_intersect(z[0], z[1])).cast("double")
+        return F.coalesce(F.try_divide(both, F.size(z[0]) + F.size(z[1]) - both), F.lit(0.0))
+
+    return F.transform(F.array(F.array(trigrams(a), trigrams(b))), of)[0]
 
 
 def truncated(text: Column, most: int) -> Column:

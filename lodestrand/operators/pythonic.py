@@ -83,21 +83,26 @@ def shares(rows: DataFrame, id_col: str, secret_col: str, n: int, threshold: int
 
 
 def reconstruct(points: DataFrame) -> DataFrame:
-    """(id, secret) from each id's points, by interpolation at 0."""
+    """(id, secret) from each id's points, of which there are few, by interpolation at 0."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xs, ys = [int(x) for x in pdf["x"]], [int(y) for y in pdf["y"]]
+    def secret(points: list) -> str:
         total = 0
-        for i, x in enumerate(xs):
+        for i, (x, y) in enumerate(points):
             above = below = 1
-            for j, other in enumerate(xs):
+            for j, (other, _) in enumerate(points):
                 if i != j:
                     above, below = above * -other % PRIME, below * (x - other) % PRIME
-            total += ys[i] * above * pow(below, -1, PRIME)
-        return pd.DataFrame({"id": pdf["id"].iloc[:1], "secret": [str(total % PRIME)]})
+            total += y * above * pow(below, -1, PRIME)
+        return str(total % PRIME)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            held = [[(int(x), int(y)) for x, y in zip(xs, ys, strict=True)] for xs, ys in zip(pdf["xs"], pdf["ys"], strict=True)]
+            yield pd.DataFrame({"id": pdf["id"], "secret": [secret(p) for p in held]})
 
     kind = points.schema["id"].dataType.simpleString()
-    return points.groupBy("id").applyInPandas(run, f"id {kind}, secret string")
+    rows = points.groupBy("id").agg(F.collect_list(F.struct("x", "y")).alias("p")).select("id", F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
+    return rows.mapInPandas(run, f"id {kind}, secret string")
 
 
 def diverse(candidates: DataFrame, k: int, balance: float = 0.5) -> DataFrame:

@@ -25,11 +25,11 @@ def block_point_lookup(spark, d):
     return load(spark, d, "documents").where("doc_id = 42").select("doc_id", "source", "lang", "n_chars")
 
 
-@query("SELECT row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position, source AS artifact_id, doc_id, 'text' AS kind, left(text, 40) AS content FROM documents")
+@query("SELECT row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position, source AS artifact_id, doc_id, 'text' AS kind, text AS content FROM documents")
 def content_listing(spark, d):
     position = F.row_number().over(Window.partitionBy("artifact_id").orderBy("seq")) - 1
     kind = F.when(F.col("block_type") == "TEXT", "text").when(F.col("block_type") == "EMBEDDINGS", "embeddings").otherwise("binary")
-    return blocks(spark, d).select(position.cast("bigint").alias("position"), "artifact_id", F.col("seq").alias("doc_id"), kind.alias("kind"), F.left("data", F.lit(40)).alias("content"))
+    return blocks(spark, d).select(position.cast("bigint").alias("position"), "artifact_id", F.col("seq").alias("doc_id"), kind.alias("kind"), F.col("data").alias("content"))
 
 
 @query("SELECT doc_id, encode(text)::BLOB AS payload FROM documents WHERE source = 'src3'")
@@ -210,10 +210,10 @@ def canonical_hash(spark, d):
     return load(spark, d, "events").select("event_id", hashing.short_id(hashing.canonical(F.col("event_type"), F.col("user_id"))).alias("entry"))
 
 
-@query("SELECT conv_id AS thread_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(left(text, 30), turn) AS head FROM conversations GROUP BY 1")
+@query("SELECT conv_id AS thread_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY 1")
 def checkpoint_latest(spark, d):
-    rows = load(spark, d, "conversations").select(F.col("conv_id").alias("thread_id"), "turn", "role", F.left("text", F.lit(30)).alias("head"))
-    return ev.last_write(rows, "thread_id", ["turn", "role", "head"], ["turn"])
+    rows = load(spark, d, "conversations").select(F.col("conv_id").alias("thread_id"), "turn", "role", "text")
+    return ev.last_write(rows, "thread_id", ["turn", "role", "text"], ["turn"])
 
 
 @query("SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size BETWEEN 10 AND 30 AND p_retailprice >= 1000 AND p_brand = 'Brand#12' AND p_retailprice < 1900")

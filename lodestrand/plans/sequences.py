@@ -56,7 +56,7 @@ def duplicate_blocks(spark, d):
 
 @query()
 def merkle_root(spark, d):
-    return integrity.merkle_roots(blocks(spark, d).where("artifact_id IN ('src0', 'src1')").select("artifact_id", "seq", content_hash(F.col("data")).alias("hash")))
+    return integrity.merkle_roots(blocks(spark, d).select("artifact_id", "seq", content_hash(F.col("data")).alias("hash")))
 
 
 @query("SELECT rule, severity, doc_id FROM (SELECT 'empty' AS rule, 'warning' AS severity, doc_id FROM documents WHERE trim(text) = '' UNION ALL SELECT 'length', 'error', doc_id FROM documents WHERE n_chars <> length(text) UNION ALL SELECT 'duplicate', 'warning', doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r > 1 UNION ALL SELECT 'oversize', 'warning', doc_id FROM documents WHERE n_chars > 10000)")
@@ -280,11 +280,11 @@ def orset_difference(spark, d):
     return adds.subtract(dead)
 
 
-@query("SELECT event_id, event_type, lag(event_id) OVER (ORDER BY event_id) AS previous_event_id FROM events WHERE user_id = 5 AND event_id <= 5000")
+@query("SELECT event_id, event_type, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_event_id FROM events")
 def event_chain(spark, d):
-    """One agent's chain back from an event; the log is linear, so it is what stands before."""
+    """Each event's predecessor in its agent's log; the log is linear, so a chain back is what stands before."""
     w = Window.partitionBy("user_id").orderBy("event_id")
-    return load(spark, d, "events").where("user_id = 5 AND event_id <= 5000").select("event_id", "event_type", F.lag("event_id").over(w).alias("previous_event_id"), "user_id").drop("user_id")
+    return load(spark, d, "events").select("event_id", "event_type", F.lag("event_id").over(w).alias("previous_event_id"))
 
 
 @query("WITH u AS (SELECT doc_id, text, 0 AS src FROM documents UNION ALL SELECT doc_id, text, 1 FROM documents WHERE doc_id % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY src, doc_id) AS n FROM u) SELECT doc_id, src::BIGINT AS src, sha256(text) AS hash FROM r WHERE n = 1")
@@ -300,9 +300,9 @@ def merge_temporal(spark, d):
     return load(spark, d, "events").select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint").alias("place"), "user_id")
 
 
-@query("SELECT doc_id, text FROM documents UNION ALL SELECT page_id, left(html, 100) FROM pages")
+@query("SELECT doc_id, text FROM documents UNION ALL SELECT page_id, html FROM pages")
 def merge_append(spark, d):
-    return load(spark, d, "documents").select("doc_id", "text").unionByName(load(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.left("html", F.lit(100)).alias("text")))
+    return load(spark, d, "documents").select("doc_id", "text").unionByName(load(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
 
 
 @query("SELECT source AS artifact_id, doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10)::BIGINT AS part FROM documents")

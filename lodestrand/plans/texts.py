@@ -27,12 +27,12 @@ def entity_extract(spark, d):
 
 
 def _triples(spark, d):
-    found = _docs(spark, d).where("n_chars < 3000").select("doc_id", tx.entities(F.col("folded")).alias("e")).where("size(e) > 1")
+    found = _docs(spark, d).select("doc_id", tx.entities(F.col("folded")).alias("e")).where("size(e) > 1")
     pair = F.explode(F.arrays_zip(F.slice("e", F.lit(1), F.size("e") - 1).alias("subject"), F.slice("e", F.lit(2), F.size("e") - 1).alias("object")))
     return found.select(pair.alias("p")).select("p.subject", F.lit("mentions_with").alias("predicate"), "p.object", F.lit(1.0).alias("confidence"))
 
 
-_TRIPLES = f"ents AS (SELECT doc_id, {_ENTITY.format(_FOLD)} AS l FROM documents WHERE n_chars < 3000), tr AS (SELECT l[i] AS subject, 'mentions_with' AS predicate, l[i + 1] AS object, 1.0::DOUBLE AS confidence FROM (SELECT l, unnest(generate_series(1, len(l) - 1)) AS i FROM ents WHERE len(l) > 1))"
+_TRIPLES = f"ents AS (SELECT doc_id, {_ENTITY.format(_FOLD)} AS l FROM documents), tr AS (SELECT l[i] AS subject, 'mentions_with' AS predicate, l[i + 1] AS object, 1.0::DOUBLE AS confidence FROM (SELECT l, unnest(generate_series(1, len(l) - 1)) AS i FROM ents WHERE len(l) > 1))"
 
 
 @query(f"WITH {_TRIPLES} SELECT subject, predicate, object, count(*) AS n FROM tr GROUP BY ALL")
@@ -104,9 +104,18 @@ def text_normalise(spark, d):
     return load(spark, d, "documents").select("doc_id", tx.normalise(F.col("text")).alias("n")).select("doc_id", F.length("n").cast("bigint").alias("length"), F.sha2(F.col("n").cast("binary"), 256).alias("hash"))
 
 
-@query(f"WITH w AS (SELECT doc_id, list_distinct({_WORDS.format('text')}) AS a, {_WORDS.format('left(text, 200)')} AS b FROM documents) SELECT doc_id, CASE WHEN len(a) = 0 THEN 1.0 ELSE round(len(list_intersect(a, b)) / len(a), 6) END::DOUBLE AS fidelity FROM w")
+def _with_previous(spark, d):
+    """Documents with the one before in their source: pairs to compare, as many as there are documents."""
+    w = Window.partitionBy("source").orderBy("doc_id")
+    return load(spark, d, "documents").select("doc_id", F.lag("doc_id").over(w).alias("other_id"), "text", F.lag("text").over(w).alias("other")).where("other_id IS NOT NULL")
+
+
+_PREVIOUS = "p AS (SELECT doc_id, lag(doc_id) OVER w AS other_id, text, lag(text) OVER w AS other FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))"
+
+
+@query(f"WITH {_PREVIOUS}, w AS (SELECT doc_id, list_distinct({_WORDS.format('text')}) AS a, {_WORDS.format('other')} AS b FROM p WHERE other_id IS NOT NULL) SELECT doc_id, CASE WHEN len(a) = 0 THEN 1.0 ELSE round(len(list_intersect(a, b)) / len(a), 6) END::DOUBLE AS fidelity FROM w")
 def text_fidelity(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.round(tx.fidelity(F.col("text"), F.left("text", F.lit(200))), 6).alias("fidelity"))
+    return _with_previous(spark, d).select("doc_id", F.round(tx.fidelity(F.col("text"), F.col("other")), 6).alias("fidelity"))
 
 
 @query("SELECT round(sum(length(text))::DOUBLE / sum(length(n)), 6) AS ratio, sum(length(n))::BIGINT AS compressed, sum(length(text))::BIGINT AS original, round(avg(length(n) / length(text)), 6) AS mean_ratio FROM (SELECT text, " + _NORMAL + " AS n FROM documents WHERE length(text) > 0)")
@@ -115,12 +124,14 @@ def compression_stats(spark, d):
     return rows.agg(F.round(F.sum("a") / F.sum("b"), 6).alias("ratio"), F.sum("b").alias("compressed"), F.sum("a").alias("original"), F.round(F.avg(F.col("b") / F.col("a")), 6).alias("mean_ratio"))
 
 
-@query(f"WITH t AS (SELECT doc_id, lang, list_distinct(list_transform(generate_series(1, length(h) - 2), lambda i: substr(h, i, 3))) AS g FROM (SELECT doc_id, lang, lower({_FOLD.replace('text', 'left(text, 60)')}) AS h FROM documents WHERE doc_id < 60 AND length(text) > 5)) SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS jaccard FROM t a JOIN t b ON a.lang = b.lang AND a.doc_id < b.doc_id")
+_GRAMS = "CASE WHEN length({0}) < 3 THEN [] ELSE list_distinct(list_transform(generate_series(1, length({0}) - 2), lambda i: substr({0}, i, 3))) END"
+
+
+@query(f"WITH {_PREVIOUS}, l AS (SELECT doc_id, other_id, lower({_FOLD}) AS a, lower({_FOLD.replace('text', 'other')}) AS b FROM p WHERE other_id IS NOT NULL), g AS (SELECT doc_id, other_id, {_GRAMS.format('a')} AS x, {_GRAMS.format('b')} AS y FROM l) SELECT doc_id AS a, other_id AS b, round(coalesce(len(list_intersect(x, y)) / nullif(len(x) + len(y) - len(list_intersect(x, y)), 0), 0), 6)::DOUBLE AS jaccard FROM g")
 def trigram_jaccard(spark, d):
-    """Lexical similarity of the openings of a few documents' pairs in one language."""
-    rows = load(spark, d, "documents").where("doc_id < 60 AND length(text) > 5").select("doc_id", "lang", tx.ascii_fold(F.left("text", F.lit(60))).alias("t"))
-    x, y = rows.alias("x"), rows.alias("y")
-    return x.join(y, (F.col("x.lang") == F.col("y.lang")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.round(tx.trigram_jaccard(F.col("x.t"), F.col("y.t")), 6).alias("jaccard"))
+    """Lexical similarity of each document and the one before in its source, over whole texts."""
+    rows = _with_previous(spark, d)
+    return rows.select(F.col("doc_id").alias("a"), F.col("other_id").alias("b"), F.round(tx.trigram_jaccard(tx.ascii_fold(F.col("text")), tx.ascii_fold(F.col("other"))), 6).alias("jaccard"))
 
 
 _ENTROPY = "c AS (SELECT doc_id, b, count(*) AS n FROM (SELECT doc_id, unnest(string_split(left(text, 1024), '')) AS b FROM documents WHERE text <> '') GROUP BY 1, 2), h AS (SELECT doc_id, -sum(n / t * log2(n / t)) / 8 AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM c) GROUP BY 1)"
@@ -202,23 +213,23 @@ def threshold_before_limit(spark, d):
     return search.top_k(rows, 5, "vec_id", at_least=0.2).select("vec_id", "score")
 
 
-@query(f"WITH {SQL_E}, p AS (SELECT q.vec_id AS q_id, e.vec_id, round(list_cosine_similarity(q.vector, e.vector), 6) AS score FROM e q JOIN e USING (label) WHERE q.vec_id < 20 AND q.vec_id <> e.vec_id) SELECT q_id, vec_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank, score FROM p QUALIFY rank <= 5")
+@query(f"WITH {SQL_E}, p AS (SELECT q.vec_id AS q_id, e.vec_id, round(list_cosine_similarity(q.vector, e.vector), 6) AS score FROM e q JOIN e USING (label) WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id) SELECT q_id, vec_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank, score FROM p QUALIFY rank <= 5")
 def batched_topk(spark, d):
     rows = vectors(spark, d)
-    queries = rows.where("vec_id < 20").select(F.col("vec_id").alias("q_id"), F.col("vector").alias("q_vector"), "label")
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("vector").alias("q_vector"), "label")
     return search.batched_top_k(queries, rows, 5, ["label"])
 
 
-@query(f"SELECT vec_id, round(greatest(0, 1 - list_distance(embedding::DOUBLE[], {_Q0}) / 2), 6) AS score FROM embeddings WHERE vec_id % 3 = 0 ORDER BY score DESC, vec_id LIMIT 10")
+@query(f"SELECT vec_id, round(greatest(0, 1 - list_distance(embedding::DOUBLE[], {_Q0}) / 2), 6) AS score FROM embeddings WHERE label IN (1, 2, 3) ORDER BY score DESC, vec_id LIMIT 10")
 def l2_search(spark, d):
-    rows = vectors(spark, d).where("vec_id % 3 = 0")
+    rows = vectors(spark, d).where("label IN (1, 2, 3)")
     score = F.greatest(F.lit(0.0), 1 - l2(F.col("vector"), F.lit(_first(spark, d))) / 2)
     return rows.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", "score")
 
 
-@query(f"WITH {SQL_E} SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.vector, b.vector), 4) AS score FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.label = 3")
+@query(f"WITH {SQL_E} SELECT a.vec_id AS a, b.vec_id AS b, coalesce(nullif(round(list_cosine_similarity(a.vector, b.vector), 4), 0), 0)::DOUBLE AS score FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id")
 def similarity_pairs(spark, d):
-    rows = search.pairs_within(vectors(spark, d).where("label = 3"), "label")
+    rows = search.pairs_within(vectors(spark, d), "label")
     return rows.select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 4).alias("score"))
 
 
@@ -251,10 +262,10 @@ def quantise(spark, d):
 
 
 def _trusted(spark, d):
-    return vectors(spark, d).where("vec_id < 60").withColumn("trust", 1.0 - (F.col("vec_id") % 5) / 10.0)
+    return vectors(spark, d).withColumn("trust", 1.0 - (F.col("vec_id") % 5) / 10.0)
 
 
-_ATTEND = f"{SQL_E}, t AS (SELECT *, 1.0::DOUBLE - (vec_id % 5) / 10.0 AS trust FROM e WHERE vec_id < 60), s AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, list_dot_product(x.vector, y.vector) / 8 * CASE WHEN x.vec_id = y.vec_id THEN 1.0::DOUBLE ELSE greatest(0, least(1, list_cosine_similarity(x.vector, y.vector) * least(x.trust, y.trust))) END AS z FROM t x JOIN t y USING (label)), x AS (SELECT *, exp(z - max(z) OVER (PARTITION BY a)) AS p FROM s), w AS (SELECT label, a, b, p / sum(p) OVER (PARTITION BY a) AS weight FROM x)"
+_ATTEND = f"{SQL_E}, t AS (SELECT *, 1.0::DOUBLE - (vec_id % 5) / 10.0 AS trust FROM e), s AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, list_dot_product(x.vector, y.vector) / 8 * CASE WHEN x.vec_id = y.vec_id THEN 1.0::DOUBLE ELSE greatest(0, least(1, list_cosine_similarity(x.vector, y.vector) * least(x.trust, y.trust))) END AS z FROM t x JOIN t y USING (label)), x AS (SELECT *, exp(z - max(z) OVER (PARTITION BY a)) AS p FROM s), w AS (SELECT label, a, b, p / sum(p) OVER (PARTITION BY a) AS weight FROM x)"
 
 
 @query(f"WITH {_ATTEND} SELECT label, a, b, round(weight, 6) AS weight FROM w")
@@ -262,25 +273,25 @@ def coherence_attention(spark, d):
     return search.attention(_trusted(spark, d), "label").select("label", "a", "b", F.round("weight", 6).alias("weight"))
 
 
-@query(f"WITH {_ATTEND} SELECT a, i - 1 AS i, round(sum(weight * v), 5) AS x FROM (SELECT a, weight, unnest(vector) AS v, unnest(generate_series(1, 64)) AS i FROM w JOIN e ON w.b = e.vec_id) GROUP BY 1, 2")
+@query(f"WITH {_ATTEND} SELECT a, i - 1 AS i, coalesce(nullif(round(sum(weight * v), 5), 0), 0)::DOUBLE AS x FROM (SELECT a, weight, unnest(vector) AS v, unnest(generate_series(1, 64)) AS i FROM w JOIN e ON w.b = e.vec_id) GROUP BY 1, 2")
 def attended_vector(spark, d):
     rows = _trusted(spark, d)
-    return search.attended(search.attention(rows, "label"), rows, "label").select("a", "i", F.round("x", 5).alias("x"))
+    return search.attended(search.attention(rows, "label"), rows, "label").select("a", "i", F.coalesce(F.nullif(F.round("x", 5), F.lit(0.0)), F.lit(0.0)).alias("x"))
 
 
-# TF-IDF over the English documents
+# TF-IDF over all documents
 
-_TFIDF = f"d AS (SELECT doc_id, unnest(regexp_extract_all(lower({_FOLD}), '\\b\\w\\w+\\b')) AS term FROM documents WHERE lang = 'en'), tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en'), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM tf JOIN df USING (term), n), l AS (SELECT doc_id, sqrt(sum(w * w)) AS len FROM r GROUP BY 1), wt AS (SELECT doc_id, term, w / len AS weight FROM r JOIN l USING (doc_id))"
+_TFIDF = f"d AS (SELECT doc_id, unnest(regexp_extract_all(lower({_FOLD}), '\\b\\w\\w+\\b')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM tf JOIN df USING (term), n), l AS (SELECT doc_id, sqrt(sum(w * w)) AS len FROM r GROUP BY 1), wt AS (SELECT doc_id, term, w / len AS weight FROM r JOIN l USING (doc_id))"
 
 
 def _weights(spark, d):
-    docs = _docs(spark, d).where("lang = 'en'")
+    docs = _docs(spark, d)
     return search.tf_idf(search.terms(docs, F.col("folded")), docs.count())
 
 
-@query(f"WITH {_TFIDF} SELECT doc_id, term, round(weight, 5) AS weight FROM wt WHERE weight > 0.1")
+@query(f"WITH {_TFIDF} SELECT doc_id, term, round(weight, 5) AS weight FROM wt")
 def tfidf_weights(spark, d):
-    return _weights(spark, d).where("weight > 0.1").select("doc_id", "term", F.round("weight", 5).alias("weight"))
+    return _weights(spark, d).select("doc_id", "term", F.round("weight", 5).alias("weight"))
 
 
 @query(f"WITH {_TFIDF} SELECT o.doc_id, round(sum(o.weight * q.weight), 5) AS score FROM wt o JOIN wt q USING (term) WHERE q.doc_id = 0 AND o.doc_id <> 0 GROUP BY 1 ORDER BY score DESC, o.doc_id LIMIT 10")
@@ -338,9 +349,9 @@ def ready_tasks(spark, d):
     return load(spark, d, "orders").withColumn("dep", F.lag("o_orderstatus").over(w)).where("o_orderstatus = 'O' AND (dep IS NULL OR dep = 'F')").select("o_orderkey")
 
 
-@query(f"WITH RECURSIVE {SQL_E}, s AS (SELECT * FROM e WHERE vec_id < 200), ed AS (SELECT a.vec_id AS u, b.vec_id AS v FROM s a JOIN s b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(1 - list_cosine_similarity(a.vector, b.vector), 9) <= 0.75), bo AS (SELECT u, v FROM ed UNION ALL SELECT v, u FROM ed), w AS (SELECT vec_id AS node, vec_id AS c FROM s UNION SELECT bo.v, w.c FROM w JOIN bo ON bo.u = w.node) SELECT node, min(c) AS component FROM w GROUP BY 1")
+@query(f"WITH RECURSIVE {SQL_E}, s AS (SELECT * FROM e), ed AS (SELECT a.vec_id AS u, b.vec_id AS v FROM s a JOIN s b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(1 - list_cosine_similarity(a.vector, b.vector), 9) <= 0.75), bo AS (SELECT u, v FROM ed UNION ALL SELECT v, u FROM ed), w AS (SELECT vec_id AS node, vec_id AS c FROM s UNION SELECT bo.v, w.c FROM w JOIN bo ON bo.u = w.node) SELECT node, min(c) AS component FROM w GROUP BY 1")
 def dbscan_components(spark, d):
     """With two points a cluster's core, density clusters are the components of the graph of near pairs (here: within a label)."""
-    rows = vectors(spark, d).where("vec_id < 200")
+    rows = vectors(spark, d)
     near = search.pairs_within(rows, "label").where(F.round(1 - cosine(F.col("va"), F.col("vb")), 9) <= 0.75)
     return graph.min_label_components(rows.select(F.col("vec_id").alias("node")), near.select(F.col("a").alias("u"), F.col("b").alias("v")))
