@@ -146,7 +146,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = components(link_fingerprints(fps))
     roots = fps.join(linked.withColumnRenamed("node", "fp"), "fp").groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(roots, "root").select(F.col("node").alias("fp"), "component")
-    named = fps.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    # Cut off, so that the last join has nothing but shuffled sides and Spark can split a fingerprint of very many copies.
+    named = cut(fps.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")))
     return rows.join(named, "fp").select("id", "text_hash", "fp", "component")
 
 
