@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrand.functions.storage import cut
+
+__all__ = ["LOWER", "WORDS", "cut", "small_side", "table", "unit_hash"]
+
 #: Lower-cases A-Z and leaves every other byte as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Lower-cases A-Z and blanks what is neither a digit, a letter a-z nor a byte of a non-ASCII character.
@@ -17,18 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the cluster's shared checkpoint folder and cut its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestrand-"))
-    return df.checkpoint(eager=True)
-
-
 def small_side(df: DataFrame, rows: int, most: int) -> DataFrame:
     """df with a broadcast hint if its measured row count allows one, else as it is."""
     return F.broadcast(df) if rows <= most else df
