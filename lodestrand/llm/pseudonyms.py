@@ -12,8 +12,9 @@ PATTERNS = {
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)",
     "address": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{10,13}(?!\d)",
-    "number": r"(?<![\d.,-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7})(?!\d|[.,-]\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{10,13}(?!\d)|(?<![\d+])\+(?:\d\)?[ ./-]?\(?){7,14}\d(?!\d)",
+    # A point between digits is a decimal one if the number before it, or what follows it, is too short for a number of this kind.
+    "number": r"(?<!\d)(?<!(?<!\d)\d{1,12}\.)(?:\d{13,19}|\d{4}([ -])(?:\d{4}\1\d{4}\1\d{1,7}|\d{6}\1\d{4,5}))(?!\d|\.\d{1,12}(?!\d))",
 }
 #: Formats of dates, by where their separators stand. Each is permuted within itself.
 DATES = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{4}/": "yyyy/MM/dd", r"^\d{2}\.": "dd.MM.yyyy", r"^\d{2}/": "MM/dd/yyyy"}
@@ -94,7 +95,7 @@ def pseudonym(value: Column, kind: Column, key: str, inverse: bool = False) -> C
 
     Numbers that pass the Luhn check stay valid ones, others stay others of their length (a
     permutation each); dates stay dates from 1800 to 2199, IPv4 addresses addresses, and phone
-    numbers keep their country code. Values that don't validate (a 13th month, an octet of 300) are left as they
+    numbers keep their country code (what a separator ends, else all but ten digits). Values that don't validate (a 13th month, an octet of 300) are left as they
     are, but for their digits, which are permuted. E-mail names and hexadecimal secrets become keyed hashes of
     fixed or equal length, which only ``inverse`` can't undo.
     """
@@ -105,8 +106,9 @@ def pseudonym(value: Column, kind: Column, key: str, inverse: bool = False) -> C
     # The last digit stays as far from the right check digit as it was: valid numbers stay valid, others don't become so.
     off = F.substring(digits, n, F.lit(1)).cast("int") - check_digit(payload)
     number = refill(value, let(permute_digits(payload, key, "luhn", inverse), lambda new: F.concat(new, F.pmod(check_digit(new) + off, F.lit(10)).cast("string"))))
-    national = F.substring(digits, n - 9, F.lit(10))
-    phone = refill(value, F.concat(F.substring(digits, F.lit(1), n - 10), permute_digits(national, key, "phone", inverse)))
+    ended = F.length(F.regexp_extract(value, r"^\+(\d{1,3})[ ./(-]", 1))
+    code = F.when(ended > 0, ended).otherwise(F.greatest(n - 10, F.lit(0)))
+    phone = refill(value, F.concat(F.substring(digits, F.lit(1), code), permute_digits(F.substring(digits, code + 1, n), key, "phone", inverse)))
     octets = F.transform(F.split(value, r"\."), lambda x: x.try_cast("int"))
     moved = feistel(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], F.lit(65536).cast("bigint"), F.lit(65536).cast("bigint"), key, F.lit("address"), inverse)
     address = let(moved, lambda m: F.concat_ws(".", *[x.cast("string") for x in (F.floor(m["a"] / 256), m["a"] % 256, F.floor(m["b"] / 256), m["b"] % 256)]))
@@ -129,7 +131,7 @@ def pseudonym(value: Column, kind: Column, key: str, inverse: bool = False) -> C
         .when(kind == "secret", F.substring(hashed, F.lit(1), F.length(value)))
         .when(kind == "date", date)
         .when(kind == "address", F.when(F.forall(octets, lambda x: x < 256), address).otherwise(plain))
-        .when((kind == "phone") & (n >= 10), phone)
+        .when(kind == "phone", phone)
         .when(kind == "number", number)
         .otherwise(plain)
     )

@@ -84,6 +84,29 @@ def test_texts(spark):
     assert ps.pseudonymise(df.limit(0), "k").count() == 0
 
 
+def test_joined_lists_and_international_groupings(spark):
+    cards = ["4111111111111111", "5500000000000004", "3782 822463 10005", "3782-822463-10005", "3056 930902 5904"]
+    phones = ["+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 123456", "+44 (0)20 7946 0958", "+49-1512-3456789", "+4512345678"]
+    for kind, values in {"number": cards, "phone": phones}.items():
+        out = one(spark, values)
+        assert {k for k, _ in out.values()} == {kind} and all(v != p and re.sub(r"\d", "9", v) == re.sub(r"\d", "9", p) for v, (_, p) in out.items())
+        assert {p for _, p in one(spark, [p for _, p in out.values()], inverse=True).values()} == set(values)
+        if kind == "number":
+            assert all(luhn(re.sub(r"\D", "", p)) for _, p in out.values())
+        else:
+            assert all(p.startswith(re.match(r"\+\d+(?=[ -])|", v)[0]) for v, (_, p) in out.items())
+    a, b = cards[:2]
+    texts = [f"a,{a},b", f"{a},{b}", f"card-{a}", f"{a}-{b}", f"{a}.{b}", f"No.{a}", f'{{"x":1,"c":{a},"y":2}}', f"1,{a},2", "3782 822463 10005,4111-1111-1111-1111", *(f"{p},{p}" for p in phones)]
+    kept = ["0.30000000000000004", "x 12.1234567890123456,", "1234567890123456.25", "550e8400-e29b-41d4-a716-446655440000", "+5 and 12, 3"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts + kept)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in ps.pseudonymise(df, "k").collect()}
+    for i, text in enumerate(texts):
+        assert not any(v in got[i]["text"] for v in [*cards, *phones, "4111-1111-1111-1111"]), text
+        assert re.sub(r"\d", "9", got[i]["text"]) == re.sub(r"\d", "9", text)
+    assert [got[i]["__replaced"] for i in range(5)] == [1, 2, 1, 2, 2]
+    assert [got[len(texts) + i]["text"] for i in range(len(kept))] == kept
+
+
 def test_nothing_but_values_changes(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.join(ps.pseudonymise(docs, "k").select("doc_id", F.col("text").alias("new"), "__replaced"), "doc_id").collect()
