@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by collision counting over single-projection sorted arrays."""
+"""Nearest neighbours by inner product, exact: blocks of queries against blocks of rows."""
 
 from __future__ import annotations
 
@@ -11,61 +11,43 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm.common import cut
 
-#: Projections, the share of them that must collide, and the share of vectors verified at least.
-PROJECTIONS, COLLIDING, VERIFIED = 96, 0.6, 0.2
-#: Vectors that one index holds at most, and queries that one pass sends to the workers.
-INDEX_ROWS, QUERY_ROWS = 16_384, 20_000
-#: The first window's half-width in standard deviations, and by what each rehashing widens it.
-FIRST_WINDOW, WIDEN = 0.2, 1.3
+#: Vectors that one block holds at most, queries that one pass sends to the workers, and those scored at once.
+INDEX_ROWS, QUERY_ROWS, SCORED_ROWS = 16_384, 20_000, 128
 
 
-class Index:
-    """One sorted array for each random projection of a block of vectors.
+class Block:
+    """Vectors of one length, searched exactly: one matrix product finds who can be among the best, whose scores are then summed in order.
 
-    Vectors get one more component, sqrt(largest norm^2 - norm^2), and queries a zero there: the
-    nearest by distance are then those of the largest inner product.
+    A matrix product may round equal vectors differently, so whoever comes within its error of the k-th best is scored again.
     """
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, longest: float, projections: int = PROJECTIONS, seed: int = 5):
-        self.vectors, self.ids = vectors, ids
-        axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, projections))
-        self.axes = axes[:-1]
-        extra = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0.0))
-        place = vectors @ axes[:-1] + extra[:, None] * axes[-1]
-        self.order = np.argsort(place, axis=0, kind="stable").astype(np.int32).T.copy()
-        self.place = np.sort(place, axis=0).T.copy()
-        self.unit = float(place.std()) or 1.0
-
-    def search(self, query: np.ndarray, own: int | None, k: int, colliding: float = COLLIDING, verified: float = VERIFIED) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact inner products of the best k that were verified, best first, ties to smaller ids.
-
-        Virtual rehashing: the window around the query widens in every array, each vector's count goes up for each
-        array in which it comes in, and a vector whose count reaches the threshold is verified, until
-        enough are. In the end the window is so wide that every vector is.
-        """
-        n, m = len(self.ids), len(self.place)
-        at = query @ self.axes
-        need, most = int(np.ceil(colliding * m)), min(n, max(8 * k, k + int(verified * n)))
-        counts = np.zeros(n, np.int32)
-        middle = np.array([np.searchsorted(p, a) for p, a in zip(self.place, at, strict=True)])
-        lo, hi, half = middle.copy(), middle.copy(), FIRST_WINDOW * self.unit
-        while True:
-            new = []
-            for i in range(m):
-                a, b = np.searchsorted(self.place[i], (at[i] - half, at[i] + half))
-                a, b = min(a, lo[i]), max(b, hi[i])
-                new += [self.order[i, a : lo[i]], self.order[i, hi[i] : b]]
-                lo[i], hi[i] = a, b
-            counts += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
-            found = np.flatnonzero(counts >= need)
-            if len(found) >= most or (lo.max() == 0 and hi.min() == n):
-                break
-            half *= WIDEN
-        if own is not None:
-            found = found[self.ids[found] != own]
-        score = (self.vectors[found] * query).sum(axis=1)
-        best = np.lexsort((self.ids[found], -score))[:k]
-        return self.ids[found[best]], score[best]
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.vectors = vectors[order]
+        self.ids, self.starts, counts = np.unique(ids[order], return_index=True, return_counts=True)
+        self.group = np.repeat(np.arange(len(self.ids)), counts)
+        self.error = 1e-12 * vectors.shape[1] * float(np.sqrt((vectors**2).sum(axis=1).max()))
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query, ids and inner products of its best k ids but its own, best first, ties to smaller ids."""
+        rough = queries @ self.vectors.T
+        n = len(self.ids)
+        if n < len(self.vectors):
+            rough = np.maximum.reduceat(rough, self.starts, axis=1)
+        at = np.minimum(np.searchsorted(self.ids, own), n - 1)
+        itself = np.flatnonzero(self.ids[at] == own)
+        rough[itself, at[itself]] = -np.inf
+        least = np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(queries), -np.inf)
+        least -= self.error * np.sqrt((queries**2).sum(axis=1))
+        for query, id_, scores, bound in zip(queries, own, rough, least, strict=True):
+            near = scores >= bound
+            near &= self.ids != id_
+            rows = np.flatnonzero(near[self.group])
+            best = np.full(n, -np.inf)
+            np.maximum.at(best, self.group[rows], (self.vectors[rows] * query).sum(axis=1))
+            found = np.flatnonzero(near)
+            found = found[np.lexsort((self.ids[found], -best[found]))[:k]]
+            yield self.ids[found], best[found]
 
 
 def usable(vector: Column) -> Column:
@@ -75,19 +57,18 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: value(x) != 0), F.lit(False))
 
 
-def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = PROJECTIONS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, rank from 1, id, score) of the k largest inner products found for each query.
+def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(query_id, rank from 1, id, score) of the k largest inner products for each query.
 
     queries: a condition on rows; every other row is a candidate, a row with the query's id never.
-    Each task indexes blocks of its rows and searches them for a block of queries, which is broadcast: how many
+    Each task scores blocks of its rows against a block of queries, which is broadcast: how many
     it holds is a parameter, and more queries take more passes. Only k rows a query and block are
     shuffled. Vectors null, zero or not finite, and null ids, take no part; vectors meet only those
     of their own length. An id's repeated query rows count once (the least vector), its repeated
-    candidate rows too (the best score). Where a block holds no more than 8k vectors it is searched exactly.
+    candidate rows too (the best score).
     """
     vectors = rows.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
     vectors = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), queries.alias("asks"))
-    longest = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
     asked = vectors.where("asks").groupBy("id").agg(F.min("v").alias("v"))
     count = asked.count()
     blocks = max(1, -(-count // query_rows))
@@ -99,8 +80,8 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
             ids, vs = by_size.setdefault(len(r["v"]), ([], []))
             ids.append(r["id"])
             vs.append(r["v"])
-        shared = rows.sparkSession.sparkContext.broadcast(({n: (np.array(i, np.int64), np.array(v)) for n, (i, v) in by_size.items()}, float(longest or 0.0) ** 0.5))
-        found = vectors.select("id", "v").mapInArrow(_searcher(shared, k, projections), "query_id bigint, id bigint, score double")
+        shared = rows.sparkSession.sparkContext.broadcast({n: (np.array(i, np.int64), np.array(v)) for n, (i, v) in by_size.items()})
+        found = vectors.select("id", "v").mapInArrow(_searcher(shared, k), "query_id bigint, id bigint, score double")
         best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
         best = best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
@@ -111,19 +92,21 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
     return out
 
 
-def _searcher(shared, k: int, projections: int):
+def _searcher(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, longest = shared.value
+        queries = shared.value
         held: dict[int, list[tuple[int, np.ndarray]]] = {}
 
         def search(size: int) -> Iterator[pa.RecordBatch]:
             block = held.pop(size)
-            index = Index(np.array([v for _, v in block]), np.array([i for i, _ in block], np.int64), longest, projections)
+            index = Block(np.array([v for _, v in block]), np.array([i for i, _ in block], np.int64))
             out: list[list[np.ndarray]] = [[], [], []]
-            for own, query in zip(*queries[size], strict=True):
-                ids, score = index.search(query, own, k)
-                for column, x in zip(out, (np.full(len(ids), own), ids, score), strict=True):
-                    column.append(x)
+            owns, asked = queries[size]
+            for first in range(0, len(owns), SCORED_ROWS):
+                own = owns[first : first + SCORED_ROWS]
+                for id_, (ids, score) in zip(own, index.search(asked[first : first + SCORED_ROWS], own, k), strict=True):
+                    for column, x in zip(out, (np.full(len(ids), id_), ids, score), strict=True):
+                        column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "id", "score"])
 
         for batch in batches:

@@ -44,6 +44,25 @@ def test_norms_matter(spark):
     assert recall(found(neighbours.nearest(df, F.col("vec_id") % 60 == 0)), brute(rows, 60, 20)) >= 0.9
 
 
+def test_mixed_norms_are_searched_exactly(spark):
+    rng = np.random.default_rng(3)
+    unit = rng.standard_normal((8000, 64))
+    unit /= np.sqrt((unit**2).sum(axis=1))[:, None]
+    for norms in (rng.lognormal(0, 0.2, 8000), rng.uniform(0.1, 1, 8000), np.where(rng.random(8000) < 0.05, 1.0, 0.3)):
+        rows = list(enumerate(unit * norms[:, None]))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id bigint, embedding array<double>").coalesce(1)
+        got = found(neighbours.nearest(df, F.col("vec_id") % 400 == 0))
+        scores = np.array([v for _, v in rows])
+        want = {q: sorted((-float(s), i) for i, s in enumerate(scores @ scores[q]) if i != q)[:20] for q in range(0, 8000, 400)}
+        assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
+
+
+def test_repeated_candidates_leave_room_for_others(spark):
+    rows = [(0, [1.0, 0.0]), *[(1, [2.0, 0.0])] * 30, (2, [1.5, 0.0]), (3, [1.5, 0.0]), (4, [0.5, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1)
+    assert found(neighbours.nearest(df, F.col("vec_id") == 0, k=3)) == {0: [(1, 2.0), (2, 1.5), (3, 1.5)]}
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (20, [1.0, 2.0, 3.0]), (40, [0.5, 0.5]), (40, [0.5, 0.5]), (3, [0.0, 1.0]), (60, [])]
