@@ -15,7 +15,7 @@ from lodestrand.functions.hashing import content_hash
 from lodestrand.functions.storage import shared_folder
 from lodestrand.functions.text import trigram_jaccard
 from lodestrand.functions.vectors import cosine, unit
-from lodestrand.operators import graph, search
+from lodestrand.operators import blocked, graph, search
 from lodestrand.operators import pythonic as py
 from lodestrand.operators import schemas
 from lodestrand.registry import query
@@ -125,8 +125,8 @@ def media_magic(spark, d):
 @query()
 def mmr(spark, d):
     rows = vectors(spark, d)
-    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("vector").alias("q_vector"), "label")
-    best = search.batched_top_k(queries, rows, 20, ["label"])
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("vector").alias("q_vector"))
+    best = blocked.top_k(queries, rows, 20)
     return py.diverse(best.join(rows.select("vec_id", "vector"), "vec_id"), 5)
 
 

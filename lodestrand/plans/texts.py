@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import text as tx
 from lodestrand.functions.vectors import cosine, l2
-from lodestrand.operators import graph, search
+from lodestrand.operators import blocked, graph, search
 from lodestrand.registry import query
 from lodestrand.tables import SQL_E, load, vectors
 
@@ -220,6 +220,13 @@ def batched_topk(spark, d):
     return search.batched_top_k(queries, rows, 5, ["label"])
 
 
+@query(f"WITH {SQL_E}, p AS (SELECT q.vec_id AS q_id, e.vec_id, round(list_cosine_similarity(q.vector, e.vector), 6) AS score FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) SELECT q_id, vec_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank, score FROM p QUALIFY rank <= 5")
+def batched_topk_all(spark, d):
+    """As batched_topk, but among all rows, whatever their label."""
+    rows = vectors(spark, d)
+    return blocked.top_k(rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("vector").alias("q_vector")), rows, 5)
+
+
 @query(f"SELECT vec_id, round(greatest(0, 1 - list_distance(embedding::DOUBLE[], {_Q0}) / 2), 6) AS score FROM embeddings WHERE label IN (1, 2, 3) ORDER BY score DESC, vec_id LIMIT 10")
 def l2_search(spark, d):
     rows = vectors(spark, d).where("label IN (1, 2, 3)")

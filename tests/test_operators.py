@@ -5,9 +5,10 @@ import math
 import random
 
 import pytest
+from lodestrand import catalogue
 from lodestrand.artifact import Artifact
 from lodestrand.functions import hashing, rules, text, times, vectors
-from lodestrand.operators import access, aggregates, events, graph, integrity, pythonic, schemas, search, sequence
+from lodestrand.operators import access, aggregates, blocked, events, graph, integrity, pythonic, schemas, search, sequence
 from lodestrand.sources import container, files
 from pyspark.sql import functions as F
 
@@ -206,6 +207,28 @@ def test_graphs(spark):
     assert {r["node"]: r["component"] for r in parts.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
 
 
+def _vectors(spark, n=300):
+    rng = random.Random(6)
+    rows = [(i, [0.0] * 5 if i == 7 else [1.0, 2.0, 0.0, 0.0, 1.0] if i % 30 == 1 else [rng.gauss(0, 1) for _ in range(5)], i % 10) for i in range(n)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / ((math.hypot(*a) * math.hypot(*b)) or 1)
+    return spark.createDataFrame(rows, "vec_id bigint, vector array<double>, label int").repartition(3), {(a, b): cos(v, w) for a, v, _ in rows for b, w, _ in rows}
+
+
+def test_top_k_among_all_labels(spark, sf):
+    df, cos = _vectors(spark)
+    queries = df.where("vec_id % 50 <= 1").select(F.col("vec_id").alias("q_id"), F.col("vector").alias("q_vector"))
+    for block_rows in (4, 1000):
+        got = {(r["q_id"], r["rank"]): (r["vec_id"], r["score"]) for r in blocked.top_k(queries, df, 5, block_rows).collect()}
+        asked = [q for q in range(300) if q % 50 <= 1]
+        assert len(got) == 5 * len(asked)
+        for q in asked:
+            want = sorted((-round(cos[q, i], 6), i) for i in range(300) if i != q)[:5]
+            assert [(got[q, k + 1][0], -got[q, k + 1][1]) for k in range(5)] == [(i, s) for s, i in want]
+    mmr = catalogue.QUERIES["mmr"](spark, sf)
+    label = {r["vec_id"]: r["label"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label").collect()}
+    assert any(label[r["q_id"]] != label[r["vec_id"]] for r in mmr.collect())
+
+
 def test_schemas(spark):
     registry = schemas.Registry()
     registry.register("1", "2", schemas.rename("a", "b"))
