@@ -14,7 +14,7 @@ from lodestrand.artifact import Artifact
 from lodestrand.functions.hashing import content_hash
 from lodestrand.functions.storage import shared_folder
 from lodestrand.functions.text import trigram_jaccard
-from lodestrand.functions.vectors import cosine, unit
+from lodestrand.functions.vectors import cosine, l2, unit
 from lodestrand.operators import blocked, graph, search
 from lodestrand.operators import pythonic as py
 from lodestrand.operators import schemas
@@ -270,11 +270,21 @@ def multimodal_fusion(spark, d):
 
 @query()
 def three_tier_compression(spark, d):
-    """Density clusters, a codebook, and the Huffman length of the codes; labels stay beside their rows."""
+    """Density clusters, a codebook, and the Huffman length of the codes; labels stay beside their rows.
+
+    A core has a twentieth of all vectors near it, two at least. Noise goes to the cluster of the nearest mean; if there
+    is no cluster, all rows are one.
+    """
     rows = vectors(spark, d)
-    near = search.pairs_within(rows, "label").where(F.round(1 - cosine(F.col("va"), F.col("vb")), 9) <= 0.5)
-    parts = graph.min_label_components(rows.select(F.col("vec_id").alias("node")), near.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    features = rows.join(parts, F.col("vec_id") == F.col("node")).withColumn("features", array_to_vector("vector"))
+    parts = blocked.density_clusters(rows, 0.5, max(2, rows.count() // 20))
+    placed = rows.join(parts, "vec_id")
+    means = search.centroid_vectors(placed.where("component IS NOT NULL"), "component").select("component", "centroid").collect()  # about twenty at most
+    if means:
+        gaps = F.array(*[F.struct(l2(F.col("vector"), F.lit(m["centroid"])).alias("gap"), F.lit(m["component"]).alias("component")) for m in means])
+        placed = placed.withColumn("component", F.coalesce("component", F.array_min(gaps)["component"]))
+    else:
+        placed = placed.withColumn("component", F.lit(rows.agg(F.min("vec_id")).first()[0]).cast("bigint"))
+    features = placed.withColumn("features", array_to_vector("vector"))
     coded = KMeans(k=64, seed=5, maxIter=8).fit(features.select("features")).transform(features)
     counts = {r[0]: r[1] for r in coded.groupBy("prediction").count().collect()}  # at most one row a code
     bits = py.huffman_bits(counts)

@@ -240,6 +240,12 @@ def similarity_pairs(spark, d):
     return rows.select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 4).alias("score"))
 
 
+@query(f"WITH {SQL_E} SELECT a.vec_id AS a, b.vec_id AS b, coalesce(nullif(round(list_cosine_similarity(a.vector, b.vector), 4), 0), 0)::DOUBLE AS score FROM e a JOIN e b ON a.vec_id < b.vec_id")
+def similarity_pairs_all(spark, d):
+    """As similarity_pairs, but all pairs, whatever their label: as many rows as half the square of the vectors."""
+    return blocked.all_pairs(vectors(spark, d)).select("a", "b", F.round("score", 4).alias("score"))
+
+
 @query(f"WITH {SQL_E} SELECT a.label, round(avg(list_cosine_similarity(a.vector, b.vector)), 6) AS coherence FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1")
 def coherence_by_group(spark, d):
     return search.mean_pairwise_cosine(vectors(spark, d), "label").select("label", F.round("coherence", 6).alias("coherence"))
@@ -362,3 +368,10 @@ def dbscan_components(spark, d):
     rows = vectors(spark, d)
     near = search.pairs_within(rows, "label").where(F.round(1 - cosine(F.col("va"), F.col("vb")), 9) <= 0.75)
     return graph.min_label_components(rows.select(F.col("vec_id").alias("node")), near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+@query(f"WITH RECURSIVE {SQL_E}, ed AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE round(1 - list_cosine_similarity(a.vector, b.vector), 9) <= 0.75), bo AS (SELECT u, v FROM ed UNION ALL SELECT v, u FROM ed), w AS (SELECT vec_id AS node, vec_id AS c FROM e UNION SELECT bo.v, w.c FROM w JOIN bo ON bo.u = w.node) SELECT node, min(c) AS component FROM w GROUP BY 1")
+def dbscan_components_all(spark, d):
+    """As dbscan_components, but over all vectors, whatever their label."""
+    rows = vectors(spark, d)
+    return graph.min_label_components(rows.select(F.col("vec_id").alias("node")), blocked.near_forest(rows, 0.75))

@@ -229,6 +229,27 @@ def test_top_k_among_all_labels(spark, sf):
     assert any(label[r["q_id"]] != label[r["vec_id"]] for r in mmr.collect())
 
 
+def test_density_clusters_across_labels(spark):
+    df, cos = _vectors(spark)
+    n, within = 300, 0.1
+    near = {i: [j for j in range(n) if j == i != 7 or round(1 - cos[i, j], 9) <= within] for i in range(n)}
+    for least in (2, 8):
+        cores = {i for i in near if len(near[i]) >= least}
+        part = {}
+        for i in sorted(cores):
+            todo = [] if i in part else [i]
+            while todo:
+                k = todo.pop()
+                if k not in part:
+                    part[k] = i
+                    todo += [j for j in near[k] if j in cores]
+        want = {i: (part[i] if i in cores else min((part[j] for j in near[i] if j in cores), default=None), i in cores) for i in near}
+        assert len(set(part.values())) > 1 and (least > 2 or any(a % 10 != b % 10 for a, b in part.items()))
+        for block_rows in (70, 1000):
+            assert {r["vec_id"]: (r["component"], r["core"]) for r in blocked.density_clusters(df, within, least, block_rows).collect()} == want
+    assert {(r["a"], r["b"]): round(r["score"], 9) for r in blocked.all_pairs(df, 70).collect()} == {(a, b): round(s, 9) for (a, b), s in cos.items() if a < b}
+
+
 def test_schemas(spark):
     registry = schemas.Registry()
     registry.register("1", "2", schemas.rename("a", "b"))
