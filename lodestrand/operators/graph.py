@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,17 +39,21 @@ def closure(edges: DataFrame, most: int = 32) -> DataFrame:
     return known
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, level) of a graph without cycles, edges (u before v): a node's level is one above its highest predecessor's.
 
-    Nodes on cycles, and what follows them, have no level and are left out.
+    Nodes on cycles, and what follows them, have no level and are left out. Goes on until no node is free; fails
+    if that takes more than ``most`` levels, where it is given.
     """
     left, links, done = cut(nodes.select("node").distinct()), cut(edges.select("u", "v").distinct()), None
-    for level in range(most):
+    for level in count():
         free = cut(left.join(links.select(F.col("v").alias("node")), "node", "left_anti").withColumn("level", F.lit(level).cast("bigint")))
         if free.isEmpty():
             break
+        if level == most:
+            raise RuntimeError(f"more than {most} levels")
         done = free if done is None else done.unionByName(free)
+        done = cut(done) if level % 100 == 99 else done
         left = cut(left.join(free.select("node"), "node", "left_anti"))
         links = cut(links.join(free.select(F.col("node").alias("u")), "u", "left_anti"))
     return done if done is not None else left.withColumn("level", F.lit(None).cast("bigint"))
@@ -65,11 +71,16 @@ def statistics(triples: DataFrame, n: int = 10) -> dict[str, DataFrame]:
     }
 
 
-def min_label_components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
-    """(node, component): the least node reachable, by passing least labels along edges and jumping to labels' labels."""
+def min_label_components(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, component): the least node reachable, by passing least labels along edges and jumping to labels' labels.
+
+    Goes on until the labels settle; fails if that takes more than ``most`` rounds, where it is given.
+    """
     both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(nodes.select("node", F.col("node").alias("component")).distinct())
-    for _ in range(most):
+    for done in count():
+        if done == most:
+            raise RuntimeError(f"labels haven't settled after {most} rounds")
         offered = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("offer"))
         nearer = labels.join(offered, "node", "left").select("node", F.least("component", F.coalesce("offer", "component")).alias("component"))
         jumped = nearer.alias("a").join(nearer.select(F.col("node").alias("k"), F.col("component").alias("c2")).alias("b"), F.col("a.component") == F.col("b.k"), "left")
@@ -77,4 +88,3 @@ def min_label_components(nodes: DataFrame, edges: DataFrame, most: int = 100) ->
         if new.exceptAll(labels).isEmpty():
             return new
         labels = new
-    return labels

@@ -250,6 +250,16 @@ def test_density_clusters_across_labels(spark):
     assert {(r["a"], r["b"]): round(r["score"], 9) for r in blocked.all_pairs(df, 70).collect()} == {(a, b): round(s, 9) for (a, b), s in cos.items() if a < b}
 
 
+def test_bounds_of_graphs_are_not_silent(spark):
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "u int, v int")
+    nodes = spark.createDataFrame([(k,) for k in range(1, 5)], "node int")
+    assert {r["node"]: r["level"] for r in graph.levels(nodes, chain, most=4).collect()} == {1: 0, 2: 1, 3: 2, 4: 3}
+    with pytest.raises(RuntimeError):
+        graph.levels(nodes, chain, most=3)
+    with pytest.raises(RuntimeError):
+        graph.min_label_components(nodes, chain, most=1)
+
+
 def test_schemas(spark):
     registry = schemas.Registry()
     registry.register("1", "2", schemas.rename("a", "b"))
