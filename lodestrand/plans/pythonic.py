@@ -204,9 +204,14 @@ def semantic_commitment(spark, d):
 @query("SELECT n_name AS name, r_name AS best FROM nation JOIN region ON n_regionkey = r_regionkey WHERE false")
 def concept_alignment(spark, d):
     """Names that both sides have align with themselves; others with the best above one half."""
-    a, b = load(spark, d, "nation").select(F.col("n_name").alias("name")), load(spark, d, "region").select(F.col("r_name").alias("best"))
+    return _aligned(load(spark, d, "nation").select(F.col("n_name").alias("name")), load(spark, d, "region").select(F.col("r_name").alias("best")))
+
+
+def _aligned(a, b):
+    """(name, best) for names and bests: common ones with themselves, others with the best of the whole unmatched side."""
     common = a.join(b, F.col("name") == F.col("best"))
-    pairs = a.join(b, F.left("name", F.lit(1)) == F.left("best", F.lit(1))).where("name <> best").withColumn("score", 0.7 * py.digest_cosine("name", "best") + 0.3 * trigram_jaccard(F.col("name"), F.col("best"))).where("score > 0.5")
+    left, right = a.join(b, F.col("name") == F.col("best"), "left_anti"), b.join(a, F.col("name") == F.col("best"), "left_anti")
+    pairs = left.crossJoin(right).withColumn("score", 0.7 * py.digest_cosine("name", "best") + 0.3 * trigram_jaccard(F.col("name"), F.col("best"))).where("score > 0.5")
     return common.unionByName(pairs.groupBy("name").agg(F.max_by("best", "score").alias("best")))
 
 

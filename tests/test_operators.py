@@ -9,6 +9,7 @@ from lodestrand import catalogue
 from lodestrand.artifact import Artifact
 from lodestrand.functions import hashing, rules, text, times, vectors
 from lodestrand.operators import access, aggregates, blocked, events, graph, integrity, pythonic, schemas, search, sequence
+from lodestrand.plans import pythonic as plans
 from lodestrand.sources import container, files
 from pyspark.sql import functions as F
 
@@ -260,6 +261,18 @@ def test_bounds_of_graphs_are_not_silent(spark):
         graph.min_label_components(nodes, chain, most=1)
 
 
+def test_names_align_across_first_letters(spark):
+    left, right = [f"vehicle speed {i}" for i in range(40)], [f"the vehicle speed {i}" for i in range(40)] + ["vehicle speed 3"]
+    a, b = spark.createDataFrame([(x,) for x in left], "name string"), spark.createDataFrame([(x,) for x in right], "best string")
+    scored = a.crossJoin(b).select("name", "best", pythonic.digest_cosine("name", "best").alias("c"), text.trigram_jaccard(F.col("name"), F.col("best")).alias("j"))
+    best = {}
+    for r in scored.collect():
+        if left[3] not in (r["name"], r["best"]) and 0.7 * r["c"] + 0.3 * r["j"] > 0.5:
+            best[r["name"]] = max(best.get(r["name"], (0, "")), (0.7 * r["c"] + 0.3 * r["j"], r["best"]))
+    want = {name: b for name, (_, b) in best.items()} | {left[3]: left[3]}
+    assert len(want) > 1 and {r["name"]: r["best"] for r in plans._aligned(a, b).collect()} == want
+
+
 def test_schemas(spark):
     registry = schemas.Registry()
     registry.register("1", "2", schemas.rename("a", "b"))
