@@ -70,14 +70,14 @@ class FMIndex:
         self.slot = np.cumsum(self.marked) - 1
         self.position = order[self.marked]
 
-    def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The range [lo, hi) of suffixes that begin with each phrase; phrases: a row each, padded on the right."""
-        lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
+    def search(self, symbols: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range [lo, hi) of suffixes that begin with each phrase, which is so long a piece of symbols from its start on."""
+        lo, hi = np.zeros(len(start), np.int64), np.full(len(start), self.n, np.int64)
         for back in range(int(lengths.max(initial=0))):
             live = np.flatnonzero((lengths > back) & (lo < hi))
             if not len(live):
                 break
-            c = phrases[live, lengths[live] - 1 - back]
+            c = symbols[start[live] + lengths[live] - 1 - back]
             lo[live] = self.first[c] + self.tree.rank(c, lo[live])
             hi[live] = self.first[c] + self.tree.rank(c, hi[live])
         return lo, np.maximum(lo, hi)

@@ -43,10 +43,7 @@ def test_fm_index_finds_every_occurrence(parts, phrases, sample):
     seq = np.array([x for p in parts for x in [*p, 0]], np.int64)
     index = FMIndex(seq, 4, sample)
     lengths = np.array([len(p) for p in phrases])
-    rows = np.zeros((len(phrases), lengths.max()), np.int64)
-    for k, p in enumerate(phrases):
-        rows[k, : len(p)] = p
-    lo, hi = index.search(rows, lengths)
+    lo, hi = index.search(np.concatenate(phrases), np.cumsum(lengths) - lengths, lengths)
     for k, p in enumerate(phrases):
         want = [i for i in range(len(seq)) if seq[i : i + len(p)].tolist() == p]
         assert sorted(index.locate(np.arange(lo[k], hi[k])).tolist()) == want
@@ -79,7 +76,7 @@ ITEMS = [(1, "a b c d e f"), (2, "short one"), (3, None), (4, " ?! "), (5, "b c
 
 
 def digests(spark, docs, items, **options):
-    d = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id bigint, text string, found string")
+    d = spark.createDataFrame([(i, t, *["clash"] * 6) for i, t in docs], "doc_id bigint, text string, __found string, found string, __hit string, key string, doc string, `n.words` string")
     b = spark.createDataFrame(items, "item_id bigint, text string")
     rows = dc.digest(dc.find(d, b, **options)).collect()
     return sorted((tuple(r[:6]) for r in rows), key=str), rows
@@ -108,3 +105,25 @@ def test_test_tables(spark, sf):
 def test_empty_tables(spark):
     assert digests(spark, [], ITEMS)[0] == []
     assert [r[2:4] for r in digests(spark, DOCS, [])[0]] == [(0, 0)] * len(DOCS)
+
+
+def test_columns_survive(spark):
+    names = ["__found", "__hit", "n_words", "key", "a.b", "item"]
+    d = spark.createDataFrame([(1, "a b c d", *names), (2, "none", *names)], "doc_id bigint, text string, __found string, __hit string, n_words string, key string, `a.b` string, item string")
+    b = spark.createDataFrame([(1, "a b c d"), (2, "x y z")], "item_id bigint, text string")
+    for options in ({}, {"block_chars": 5}):
+        assert [tuple(r) for r in dc.clean(d, b, **options).collect()] == [(2, "none", *names)]
+        found = dc.find(d, b, **options)
+        assert found.columns == [*d.columns, "__found_"] and {r["__found"] for r in found.collect()} == {"__found"}
+
+
+def test_a_large_benchmark_takes_little_memory():
+    import tracemalloc
+
+    words = [f"w{k}" for k in range(600_000)]  # four million characters of invented words
+    tracemalloc.start()
+    packed = dc.Phrases.packed([("1", " ".join(words))], 13)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    phrases = dc.Phrases(*packed)
+    assert len(phrases.start) == len(words) - 12 and sum(x.nbytes for x in packed[1:6]) < 30e6
