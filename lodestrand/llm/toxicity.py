@@ -12,14 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import WORDS, cut
+from lodestrand.llm.common import WORDS, cut, fresh, mapped, named, small_side
 
 #: Bytes of a word's beginnings that words back off to, shortest first; then comes the whole word.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Labelled rows to learn from at most, on average: a sample by hash.
 TRAIN_ROWS = 12_000
-#: Features (words and beginnings) that a model keeps at most, by weight.
-FEATURES = 200_000
+#: A word or a beginning speaks for itself if so many toxic documents have it or so many clean ones; with less, its longest beginning that does speaks.
+SUPPORT, SUPPORT_BEGINNING = (3, 60), (6, 60)
+#: Steps of evidence, and the most, in the histogram that the logistic curve is fitted to.
+STEP, MOST_EVIDENCE = 1 / 64, 64.0
 #: What every token costs, and the most that one token scores.
 DRIFT, MOST = 0.3, 6.0
 
@@ -84,6 +86,10 @@ class Model:
     offset: float = -2.0
     least: float = 2.0  # a passage of lower score isn't significant in a text of any length
 
+    def packed(self) -> tuple:
+        """The fields, for workers that lack this package."""
+        return tuple(getattr(self, f) for f in self.__dataclass_fields__)
+
     def tokens(self, text: str | None, weights: _Weights) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").translate(WORDS).split()
         scores = np.fromiter(map(weights.__getitem__, words), np.float64, len(words))
@@ -143,8 +149,14 @@ def _weights_from(counts: list[tuple[bytes, int, int]], toxic: int, clean: int,
         odds = math.log(r / (1 - r)) - math.log(base / (1 - base))
         spread = math.sqrt(1 / (r * n + 0.5) + 1 / ((1 - r) * n + 0.5))
         out[f] = min(MOST, odds - width * spread - DRIFT)
-    top = sorted(out, key=lambda f: (-abs(out[f]), f))[:FEATURES]
-    return {f: max(out[f], -DRIFT) for f in top}
+    out = {f: max(x, -DRIFT) for f, x in out.items()}
+    return {f: x for f, x in out.items() if x != _less(out, f)}  # a feature that scores as what it backs off to says nothing
+
+
+def _less(scores: dict[bytes, float], f: bytes) -> float:
+    """What a feature would score if it weren't known."""
+    whole = f[:-1] if f.endswith(b"*") else f
+    return next((scores[x] for x in reversed(chain(whole)[:-1]) if x != f and len(x) <= len(whole) and x in scores), -DRIFT)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None, train_rows: int = TRAIN_ROWS) -> Model:
@@ -155,14 +167,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     what one fit gathers constant. Null ids and labels are left out, an id labelled twice counts as
     toxic if either label is, and repeated documents count as often as they stand. Two thirds of the
     sample give the weights, the rest the calibration, for which the weights are unseen. Without any
-    toxic or any clean example the model scores everything below 0.5.
+    toxic or any clean example, as with empty tables, the model scores everything below 0.5. Null texts
+    have no words; columns of other names don't matter.
     """
-    rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
-    rows = (rows.where(usable) if usable is not None else rows).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
+    rows = labels.where(named(id_col).isNotNull() & named(label_col).isin(0, 1))
+    rows = (rows.where(usable) if usable is not None else rows).groupBy(named(id_col).alias("id")).agg(F.max(named(label_col)).alias("label"))
     count = rows.count()
     share = min(1.0, train_rows / max(1, count))
-    picked = rows.where(F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))  # about train_rows rows: small enough to broadcast
-    sample = docs.join(F.broadcast(picked), docs[id_col] == F.col("__id")).select(F.col("__label").cast("int").alias("label"), F.col(text_col).cast("string").alias("text"), (F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(3)) == 0).alias("later"))
+    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    texts = docs.select(named(id_col).alias("doc"), named(text_col).cast("string").alias("text"))
+    joined = texts.join(small_side(picked, min(count, 2 * train_rows)), F.col("doc") == F.col("id"))
+    sample = cut(joined.select(F.col("label").cast("int").alias("label"), "text", (F.pmod(F.xxhash64("id", F.lit(11)), F.lit(3)) == 0).alias("later")))
 
     def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: tuple[Counter, Counter] = Counter(), Counter()
@@ -186,46 +201,61 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # A beginning counts words, not documents, each at most twice: one frequent word says nothing of its neighbours.
     heads = F.explode(F.expr(f"transform(filter(array{PREFIXES}, k -> length(f) > k), k -> concat(substring(f, 1, k), X'2A'))"))
     begun = words.select(heads.alias("f"), F.least("t", F.lit(2)).alias("t"), F.least("c", F.lit(2)).alias("c")).groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    # Rare features tell little; what is collected is bounded by the sample.
-    counts = [(bytes(r[0]), r[1], r[2]) for r in words.where("length(f) = 0 OR t >= 3 OR c >= 60").union(begun.where("t >= 6 OR c >= 60")).collect()]
+    enough = lambda least: (F.col("t") >= least[0]) | (F.col("c") >= least[1])
+    # The vocabulary of the sample that has support, no more.
+    counts = [(bytes(r[0]), r[1], r[2]) for r in words.where((F.length("f") == 0) | enough(SUPPORT)).union(begun.where(enough(SUPPORT_BEGINNING))).collect()]
     toxic, clean = next(((t, c) for f, t, c in counts if not f), (0, 0))
     if not toxic or not clean:
         return Model(offset=-3.0, least=math.inf)
     model = Model(known=_weights_from([x for x in counts if x[0]], toxic, clean))
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    _calibrate(model, sample.where("later").select("label", "text"))
+    return model
 
-    def best_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        weights = _Weights(model.known, model.rest)
+
+def _calibrate(model: Model, later: DataFrame) -> None:
+    """Fit the extreme-value parameters on clean documents, then the logistic curve on all.
+
+    later: rows (label, text). Tasks send sums and a histogram, however many texts and segments there are.
+    """
+    context = later.sparkSession.sparkContext
+    shared = context.broadcast(model.packed())
+
+    def background(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
+        weights, n, total, words = _Weights(model.known, model.rest), 0, 0.0, 0
         for batch in batches:
-            rows = []
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for text in batch.column(1):
                 scores = model.tokens(text.as_py(), weights)
                 found = segments(scores, 0.5)
-                rows.append((label, len(scores), max((s for _, _, s in found), default=0.0), [s for _, _, s in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)], ["label", "n", "best", "each"]) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()))], ["label", "n", "best", "each"])
+                n, total, words = n + len(found), total + math.fsum(s - 0.5 for _, _, s in found), words + len(scores)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total]), pa.array([words], pa.int64())], ["n", "total", "words"])
 
-    seen = sample.where("later").select("label", "text").mapInArrow(best_segments, "label int, n bigint, best double, each array<double>").collect()  # at most the sample, in numbers
-    _calibrate(model, seen)
-    return model
-
-
-def _calibrate(model: Model, seen: list) -> None:
-    """Fit the extreme-value parameters on clean documents, then the logistic curve on all."""
-    background = np.array([s for r in seen if r["label"] == 0 for s in r["each"]] or [1.0])
     # Scores of background segments fall off as exp(-lambda s); K n is how many segments n tokens begin.
-    model.scale = 1 / max(0.2, float(np.mean(background - 0.5)))
-    words = sum(r["n"] for r in seen if r["label"] == 0) or 1
-    model.log_k = math.log(len(background) / words) + model.scale * 0.5
+    sums = later.where("label = 0").mapInArrow(background, "n bigint, total double, words bigint").agg(F.sum("n"), F.sum(F.round("total", 6).cast("decimal(30,6)")), F.sum("words")).first()
+    n, total, words = (sums[0], float(sums[1]), sums[2]) if sums[0] else (1, 0.5, (sums[2] or 1))
+    model.scale = 1 / max(0.2, total / n)
+    model.log_k = math.log(n / words) + model.scale * 0.5
     model.least = 0.5 + max(0.0, model.log_k / model.scale)
-    x = np.array([_evidence(model, r) for r in seen])
-    y = np.array([r["label"] for r in seen], float)
+
+    fitted = context.broadcast(model.packed())
+
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*fitted.value)
+        weights, tally = _Weights(model.known, model.rest), Counter()
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                evidence = model.evidence(model.tokens(text.as_py(), weights))[0]
+                tally[label, round(min(evidence, MOST_EVIDENCE) / STEP)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally], pa.int32()), pa.array([k[1] for k in tally], pa.int32()), pa.array(list(tally.values()), pa.int64())], ["label", "step", "n"])
+
+    seen = later.mapInArrow(histogram, "label int, step int, n bigint").groupBy("label", "step").agg(F.sum("n").alias("n")).orderBy("label", "step").collect()  # two rows a step at most
+    x, y, n = (np.array(v, float) for v in zip(*[(r["step"] * STEP, r["label"], r["n"]) for r in seen], strict=True)) if seen else (np.zeros(0),) * 3
     a, b = 1.0, -2.0
     for _ in range(50):  # Newton steps for the logistic fit, with a light ridge
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((y - p) * x).sum() - 0.01 * a, (y - p).sum()])
+        w = np.maximum(p * (1 - p), 1e-9) * n
+        g = np.array([((y - p) * x * n).sum() - 0.01 * a, ((y - p) * n).sum()])
         h = np.array([[(w * x * x).sum() + 0.01, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         a, b = a + np.clip(step[0], -2, 2), b + np.clip(step[1], -2, 2)
@@ -234,26 +264,20 @@ def _calibrate(model: Model, seen: list) -> None:
     model.slope, model.offset = max(1e-3, float(a)), float(b)
 
 
-def _evidence(model: Model, r) -> float:
-    if not r["n"]:
-        return 0.0
-    low = max(0.0, model.scale * r["best"]) * 0.1
-    if r["best"] < model.least:
-        return low
-    chance = model.log_k + math.log(r["n"])
-    return low + math.sqrt(sum(max(0.0, model.scale * s - chance) for s in r["each"] if s >= model.least))
-
-
 def score(docs: DataFrame, model: Model, text_col: str = "text", drop_text: bool = False) -> DataFrame:
-    """docs with a struct column ``__tox``: score (0 to 1), and passages: start and end (words, end
-    exclusive) and score of every significant toxic segment. Empty and null texts score the model's
-    value for no evidence; whole texts are scanned, once, without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """docs with a struct as last column, ``__tox``: score (0 to 1), and passages: start and end (words, end
+    exclusive) and score of every significant toxic segment. Whole texts are scanned, once, without a shuffle.
+
+    Empty and null texts score the model's value for no evidence, repeated rows stay, an empty table gives no
+    rows and texts may be of any length. All columns of docs stay whatever their names: if one is
+    called ``__tox``, ours gets an underscore more.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model.packed())
     text_at = docs.columns.index(text_col)
-    out = docs.withColumn("__tox", F.lit(None).cast("struct<score:double,passages:array<struct<start:int,end:int,score:double>>>"))
+    out = docs.withColumn(fresh(docs, "__tox"), F.lit(None).cast("struct<score:double,passages:array<struct<start:int,end:int,score:double>>>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value)
         weights = _Weights(model.known, model.rest)
         for batch in batches:
             rows = []
@@ -264,9 +288,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", drop_text: bool
             keep = [k for k in range(len(columns)) if not (drop_text and k == text_at)]
             yield pa.RecordBatch.from_arrays([columns[k] for k in keep], [batch.schema.names[k] for k in keep])
 
-    return out.mapInArrow(run, (out.drop(text_col) if drop_text else out).schema)
+    return mapped(out, run, [c for c in out.columns if not (drop_text and c == text_col)])
 
 
 def clean(docs: DataFrame, model: Model, most: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs that score below ``most``, with the same columns."""
-    return score(docs, model, text_col).where(F.col("__tox.score") < most).select(*docs.columns)
+    """docs that score below ``most``, with the same columns, whatever their names."""
+    rated = score(docs, model, text_col)
+    return rated.where(named(rated.columns[-1])["score"] < most).select(*map(named, docs.columns))

@@ -1,5 +1,8 @@
 """Segments against brute force; the classifier on held-out rows."""
 
+import math
+import re
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,14 +54,19 @@ def toy(spark):
 def test_edges(spark):
     docs, labels = toy(spark)
     model = tox.fit(docs, labels)
-    odd = spark.createDataFrame([(1, None, "c"), (2, "", "c"), (3, "a quiet river", "c"), (4, "you vile rotten creature, a vile thing", "c"), (4, "you vile rotten creature, a vile thing", "c"), (None, "river " * 30000, "c")], "doc_id bigint, text string, score string")
-    out = tox.score(odd, model).select("doc_id", "__tox.score", "__tox.passages", "text").collect()
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "a quiet river"), (4, "you vile rotten creature, a vile thing"), (4, "you vile rotten creature, a vile thing"), (None, "river " * 30000)], "doc_id bigint, text string")
+    names = ["__tox", "__id", "__label", "id", "label", "a.b", "score", "doc"]
+    for c in names:
+        odd, docs, labels = (x.withColumn(c, F.lit(c)) for x in (odd, docs, labels))
+    assert tox.fit(docs, labels) == model
+    out = tox.score(odd, model).select("doc_id", "__tox_.score", "__tox_.passages", "text").collect()
     assert len(out) == 6 and all(0 <= r["score"] <= 1 for r in out)
     by = {r["doc_id"]: r for r in out}
     assert by[4]["score"] >= 0.5 > max(by[k]["score"] for k in (1, 2, 3, None))
     assert by[4]["passages"] and not by[3]["passages"]
     assert by[1]["score"] == by[2]["score"]
     kept = tox.clean(odd, model)
+    assert all(r[c] == c for r in kept.collect() for c in names)
     assert kept.columns == odd.columns and 4 not in {r["doc_id"] for r in kept.collect()} and kept.count() == 4
 
 
@@ -68,3 +76,36 @@ def test_without_examples(spark):
     assert all(r[0] < 0.5 for r in tox.score(docs, model).select("__tox.score").collect())
     assert tox.score(docs.limit(0), model).count() == 0
     assert tox.fit(docs.limit(0), labels.limit(0)).least == float("inf")
+
+
+def plain_score(model, text):
+    """A text's score as the definitions say, without the library's scan."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    seen, scores = {}, []
+    for w in (w.encode() for w in words):
+        chain = [w] + [w[:k] + b"*" for k in (8, 7, 6, 5, 4) if len(w) > k]
+        s = next((model.known[f] for f in chain if f in model.known), model.rest)
+        if s > 0:
+            seen[w] = seen.get(w, 0) + 1
+            s = s if seen[w] == 1 else s / seen[w] ** 2 - tox.DRIFT
+        scores.append(s)
+    found = [s for _, _, s in plain_segments(scores)]
+    evidence = max(0.0, model.scale * max(found, default=0.0)) * 0.1
+    if max(found, default=0.0) >= model.least:
+        evidence += math.sqrt(sum(max(0.0, model.scale * s - model.log_k - math.log(len(words))) for s in found if s >= model.least))
+    return 1 / (1 + math.exp(-(model.slope * evidence + model.offset)))
+
+
+def test_whole_scores_against_brute_force(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = tox.fit(docs, labels, usable=fold() != 0)
+    rows = tox.score(docs.where("length(text) < 1500"), model).select("text", "__tox.score").collect()
+    assert len(rows) > 50 and all(abs(r["score"] - plain_score(model, r["text"])) < 1e-9 for r in rows)
+
+
+def test_repeated_examples_and_the_weights_kept(spark):
+    docs, labels = toy(spark)
+    model, more = tox.fit(docs, labels), tox.fit(docs.unionByName(docs), labels)
+    assert model.known and more.known and more.scale > 0
+    full = dict(model.known)
+    assert all(x != tox._less(full, f) for f, x in full.items())
