@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,23 +33,33 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: value(x) != 0), F.lit(False))
 
 
-@lru_cache(maxsize=8)
+_KNOWN: dict[int, tuple[np.ndarray, int]] = {}
+
+
+def _basis(size: int) -> tuple[np.ndarray, int]:
+    """projections() and threshold(), kept for the next block. (A function with a cache of Python's own can't be sent by value.)"""
+    if size not in _KNOWN:
+        rng, least, most = np.random.default_rng([7, size]), *PROJECTIONS
+        rows: list[np.ndarray] = []
+        while sum(map(len, rows)) < min(max(size, least), most):
+            q, r = np.linalg.qr(rng.standard_normal((size, min(size, most))))
+            rows.append((q * np.sign(np.diag(r))).T)
+        basis = np.concatenate(rows)
+        u = np.random.default_rng([11, size]).standard_normal((4096, size))
+        u /= np.sqrt((u**2).sum(axis=1))[:, None]
+        hits = (np.abs(u @ basis.T) <= REACH / math.sqrt(size)).sum(axis=1)
+        _KNOWN[size] = basis, int(np.quantile(hits, MISSED, method="lower"))
+    return _KNOWN[size]
+
+
 def projections(size: int) -> np.ndarray:
     """Unit vectors to project on, a row each: of random rotations, so that one vector's errors cancel out within a rotation."""
-    rng, least, most = np.random.default_rng([7, size]), *PROJECTIONS
-    rows: list[np.ndarray] = []
-    while sum(map(len, rows)) < min(max(size, least), most):
-        q, r = np.linalg.qr(rng.standard_normal((size, min(size, most))))
-        rows.append((q * np.sign(np.diag(r))).T)
-    return np.concatenate(rows)
+    return _basis(size)[0]
 
 
-@lru_cache(maxsize=8)
 def threshold(size: int) -> int:
     """Collisions that all but MISSED of random unit vectors have with the origin in windows of REACH."""
-    u = np.random.default_rng([11, size]).standard_normal((4096, size))
-    u /= np.sqrt((u**2).sum(axis=1))[:, None]
-    return int(np.quantile((np.abs(u @ projections(size).T) <= REACH / math.sqrt(size)).sum(axis=1), MISSED, method="lower"))
+    return _basis(size)[1]
 
 
 def norm_class(norms: np.ndarray) -> np.ndarray:
