@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import LOWER, cut
+from lodestrand.llm.common import LOWER, cut, every, named
 from lodestrand.llm.graph import components
 
 #: Segments of two bits. Their bit counts, 0 to 2 in two bits each, fill one 64-bit cell number.
@@ -49,8 +49,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["id", "text_hash", "fp"])
 
-    kind, text = docs.schema[id_col].dataType.simpleString(), F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(text).alias("h")).mapInArrow(run, f"id {kind}, text_hash bigint, fp bigint")
+    kind, text = docs.schema[id_col].dataType.simpleString(), named(text_col).cast("string")
+    return docs.select(named(id_col).alias("id"), text.alias("t"), F.xxhash64(text).alias("h")).mapInArrow(run, f"id {kind}, text_hash bigint, fp bigint")
 
 
 def cells_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = cut(fingerprints(docs, id_col, text_col, words))
     fps = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    linked = components(link_fingerprints(fps))
+    linked = components(cut(link_fingerprints(fps)))  # the rounds read the links several times
     roots = fps.join(linked.withColumnRenamed("node", "fp"), "fp").groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(roots, "root").select(F.col("node").alias("fp"), "component")
     # Cut off, so that the last join has nothing but shuffled sides and Spark can split a fingerprint of very many copies.
@@ -155,13 +155,13 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """docs with one row of each near-duplicate component left: the one with the least id.
 
     Of several rows with that id, one with the least hash of its text stays. Where every id of a
-    component is null, one of its rows stays. The columns are those of docs.
+    component is null, one of its rows stays. Texts may be null, empty or of any length; an empty table stays empty. The columns are those of docs, whatever
+    their names; of rows equal in id and text the other columns are those of one row.
     """
     near = near_duplicates(docs, id_col, text_col, words)
     keep = near.where("id = component").groupBy("id").agg(F.min("text_hash").alias("text_hash"))
-    named = docs.withColumn("__hash", F.xxhash64(F.col(text_col).cast("string")))
-    held = named.join(keep, (named[id_col] == keep["id"]) & (named["__hash"] == keep["text_hash"]), "left_semi").dropDuplicates([id_col, "__hash"])
+    rows = docs.select(every(docs).alias("doc"), named(id_col).alias("own"), F.xxhash64(named(text_col).cast("string")).alias("hash"))
+    held = rows.join(keep, (F.col("own") == F.col("id")) & (F.col("hash") == F.col("text_hash")), "left_semi").dropDuplicates(["own", "hash"])
     alone = near.where("component IS NULL").groupBy("fp").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
-    nameless = named.where(F.col(id_col).isNull())
-    nameless = nameless.join(alone, nameless["__hash"] == alone["text_hash"], "left_semi").dropDuplicates(["__hash"])
-    return held.unionByName(nameless).drop("__hash")
+    nameless = rows.where("own IS NULL").join(alone, F.col("hash") == F.col("text_hash"), "left_semi").dropDuplicates(["hash"])
+    return held.unionByName(nameless).select(*[F.col("doc")[c].alias(c) for c in docs.columns])

@@ -110,6 +110,26 @@ def test_survivors(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 2), (False, 9), (False, 10), (True, 0)]
 
 
+def test_columns_survive(spark):
+    names = ["__hash", "doc", "own", "hash", "fp", "component", "a.b"]
+    docs = spark.createDataFrame([(1, "a b c d", *names), (2, "a b c d", *names)], "doc_id bigint, text string, __hash string, doc string, own string, hash string, fp string, component string, `a.b` string")
+    assert [tuple(r) for r in simhash.survivors(docs).collect()] == [(1, "a b c d", *names)]
+
+
+def test_links_are_found_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    links = simhash._links
+
+    def counted(batches):
+        calls.add(1)
+        yield from links(batches)
+
+    monkeypatch.setattr(simhash, "_links", counted)
+    docs = spark.createDataFrame([(i, f"the same words {i % 3}") for i in range(50)], "doc_id bigint, text string")
+    assert simhash.near_duplicates(docs).count() == 50
+    assert calls.value <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert simhash.near_duplicates(docs).count() == 0
