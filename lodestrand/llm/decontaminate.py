@@ -177,7 +177,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     rows = docs.select(every(docs).alias("doc"), F.md5(text).alias("key"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_words"))
     rows = rows.join(small_side(hits, hits.count(), HIT_ROWS), "key", "left")
     whole = F.struct("n_words", F.coalesce(_merged("spans"), F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return rows.select(*[F.col("doc")[c].alias(c) for c in kept], whole.alias(out.columns[-1]))
+    return rows.select("doc", whole.alias("found")).select(*[F.col("doc")[c].alias(c) for c in kept], F.col("found").alias(out.columns[-1]))
 
 
 #: Texts with hits that go to all workers at most; more are joined by a shuffle.

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import cut, small_side
+from lodestrand.llm.common import BROADCAST_ROWS, cut, every, fresh, named, small_side
 
 #: Bytes of text that a shard holds at most.
 SHARD_BYTES = 16 << 20
 #: Bits of a hash, of the first directory and of each directory below it.
 HASH_BITS, FIRST_BITS, MORE_BITS = 60, 12, 8
-#: Directory entries that are broadcast at most; a larger directory is joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
 
 
 def hash60(id_col: Column, text: Column) -> Column:
@@ -38,8 +36,8 @@ def _directory(hist: DataFrame, base: int, bits: int, limit: int) -> DataFrame:
     return hist.select("entry").join(found, "entry", "left")
 
 
-def assign(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """(id, bytes, shard, depth) for each row, or all columns of docs and these with ``carry``.
+def assign(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, place: Column | None = None) -> DataFrame:
+    """(id, bytes, shard, depth) for each row, or all columns of docs with shard and depth (and ``place``) by ``carry``.
 
     A shard's name is its hash prefix in binary, depth bits long ('' is the only shard of a small
     table). Buckets over ``limit`` bytes of UTF-8 text split on the next bit, others don't; a
@@ -48,13 +46,14 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", te
     still too large. Histograms are partial aggregates, and the directory has at most 256 entries
     for each oversized bucket; it is broadcast while it is small, by count.
 
-    Null ids and texts count as empty. Rows equal in id and text can't be told apart by hash: those
-    that pass the limit together go to numbered pages, '<prefix>.<page>'. An empty table gives no rows.
+    Null ids and texts count as empty, and texts may be of any length. Rows equal in id and text can't be told apart by
+    hash: those that pass the limit together go to numbered pages, '<prefix>.<page>'. An empty table gives no rows. The
+    columns of docs stay whatever their names: if one is called as a column of ours, ours gets an underscore more.
     """
-    text = F.col(text_col).cast("string")
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("bytes"), hash60(F.col(id_col), text).alias("h"))
-    slim = cut(slim)
-    rows = docs.withColumns({"__bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint"), "__h": hash60(F.col(id_col), text)}) if carry else slim.withColumnsRenamed({"bytes": "__bytes", "h": "__h"})
+    text = named(text_col).cast("string")
+    size, code = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint"), hash60(named(id_col), text)
+    slim = cut(docs.select(named(id_col).alias("id"), size.alias("bytes"), code.alias("h")))
+    rows = docs.select(every(docs).alias("doc"), size.alias("__bytes"), code.alias("__h"), (place if place is not None else F.lit(None).cast("bigint")).alias("__place")) if carry else slim.withColumnsRenamed({"bytes": "__bytes", "h": "__h"})
     rows = rows.withColumn("__depth", F.lit(None).cast("int"))
     base, bits, left = 0, FIRST_BITS, slim
     while bits:
@@ -77,10 +76,18 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", te
     depth = F.coalesce("__depth", F.lit(HASH_BITS))
     bits_of = F.substring(F.lpad(F.bin("__h"), HASH_BITS, "0"), F.lit(1), depth)
     shard = F.concat(bits_of, F.coalesce(F.concat(F.lit("."), "__page"), F.lit(""))) if "__page" in rows.columns else bits_of
-    kept = [F.col(c) for c in docs.columns] if carry else [F.col("id"), F.col("__bytes").alias("bytes")]
-    return rows.select(*kept, shard.alias("shard"), depth.alias("depth"))
+    if not carry:
+        return rows.select("id", F.col("__bytes").alias("bytes"), shard.alias("shard"), depth.alias("depth"))
+    rows = rows.select("doc", F.struct(shard.alias("shard"), depth.alias("depth"), F.col("__place").alias("place")).alias("ours"))
+    return rows.select(*[F.col("doc")[c].alias(c) for c in docs.columns], *[F.col("ours")[c].alias(fresh(docs, c)) for c in ("shard", "depth", *(["place"] if place is not None else []))])
 
 
-def sharded(docs: DataFrame, **options) -> DataFrame:
-    """docs with their shard, each shard's rows together in one partition: ready for write.partitionBy("shard")."""
-    return assign(docs, carry=True, **options).repartition("shard")
+def sharded(docs: DataFrame, place: Column | None = None, **options) -> DataFrame:
+    """docs with their shard, each shard's rows together in one partition: ready for write.partitionBy("shard").
+
+    place: a number that says where a row stands in the order of training; each shard is then in that order.
+    """
+    rows = assign(docs, carry=True, place=place, **options)
+    shard = fresh(docs, "shard")
+    out = rows.repartition(named(shard))
+    return out.sortWithinPartitions(named(shard), named(rows.columns[-1])) if place is not None else out

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 from lodestrand.llm import sharding
+from pyspark.sql import functions as F
 
 
 def h60(i, t):
@@ -53,7 +54,14 @@ def test_two_levels_of_directory(spark, monkeypatch):
     rows = [(i, "a" * rng.randint(1, 100)) for i in range(600)] + [(9999, "z" * 5000)]
     docs, got = check(spark, rows, 300)
     assert max(r["depth"] for r in got) > 6
-    carried = sharding.sharded(docs, limit=300)
+    names = ["shard", "depth", "__bytes", "__depth", "__h", "__entry", "doc", "a.b"]
+    for c in names:
+        docs = docs.withColumn(c, F.lit(c))
+    carried = sharding.sharded(docs, limit=300, place=-F.col("doc_id"))
+    rows = carried.withColumn("part", F.spark_partition_id()).collect()
+    assert carried.columns == [*docs.columns, "shard_", "depth_", "place"] and all(r[c] == c for r in rows for c in names)
+    assert all(a["shard_"] != b["shard_"] or a["place"] <= b["place"] for a, b in zip(rows, rows[1:], strict=False) if a["part"] == b["part"])
+    carried = carried.withColumn("shard", F.col("shard_"))
     assert sorted((r["doc_id"], r["shard"]) for r in carried.collect()) == sorted((r["id"], r["shard"]) for r in got)
 
 
