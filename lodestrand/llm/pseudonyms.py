@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.llm.common import fresh, named
+
 #: What is looked for, in order of precedence where two begin at one place.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
@@ -151,19 +153,21 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
     One alternation of all patterns finds the values; what lies between them is kept. The same value
     gives the same pseudonym in every document, so records stay linked; who has no key can't go
-    back. All expressions run in the JVM, row by row, without a shuffle. Null texts stay null.
+    back. All expressions run in the JVM, row by row, without a shuffle. Null texts stay null, empty ones empty,
+    repeated rows stay, an empty table gives no rows, and texts may be of any length. All columns of docs stay
+    whatever their names: if one is called ``__replaced``, ours gets an underscore more.
     """
     every = _alternation()
-    text = F.col(text_col)
+    text, held, count = named(text_col), fresh(docs, "__hits"), fresh(docs, "__replaced")
     # Every kind of value has a digit or an @: texts without one needn't be searched.
     hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(every), F.lit(0))).otherwise(F.array().cast("array<string>"))
     between = F.split(text, every, -1)
     # Not a lambda over both arrays' zip: each hit is computed once, from its own value.
-    new = F.transform("__hits", lambda v: let(kind_of(v), lambda kind: pseudonym(v, kind, key)))
-    rows = docs.withColumn("__hits", hits)
+    new = F.transform(named(held), lambda v: let(kind_of(v), lambda kind: pseudonym(v, kind, key)))
+    rows = docs.withColumn(held, hits)
     joined = F.concat_ws("", F.flatten(F.transform(F.arrays_zip(between.alias("b"), F.concat(new, F.array(F.lit(""))).alias("n")), lambda z: F.array(z["b"], z["n"]))))
-    rows = rows.withColumn(text_col, F.when(F.size("__hits") > 0, joined).otherwise(text))
-    return rows.withColumn("__replaced", F.greatest(F.size("__hits"), F.lit(0)).cast("bigint")).drop("__hits")
+    rows = rows.withColumn(text_col, F.when(F.size(named(held)) > 0, joined).otherwise(text))
+    return rows.withColumn(count, F.greatest(F.size(named(held)), F.lit(0)).cast("bigint")).drop(held)
 
 
 def _alternation() -> str:

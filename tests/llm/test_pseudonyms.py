@@ -119,3 +119,10 @@ def test_nothing_but_values_changes(spark, sf):
 def test_it_runs_in_the_jvm(spark, sf):
     plan = ps.pseudonymise(spark.read.parquet(f"{sf}/documents.parquet"), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_columns_survive(spark):
+    docs = spark.createDataFrame([(1, "call 555-123-4567", "a", "b", "c")], "doc_id bigint, text string, __hits string, __replaced string, `a.b` string")
+    out = ps.pseudonymise(docs, "k")
+    row = out.first()
+    assert out.columns == [*docs.columns, "__replaced_"] and tuple(row[2:]) == ("a", "b", "c", 1) and row["text"] != "call 555-123-4567"
