@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.llm.common import cut, every, fresh, named, small_side
+
 #: A schedule is a list of (time, weight) knots from time 0 to 1, joined by straight lines.
 Schedule = list[tuple[float, float]]
 
@@ -55,34 +57,42 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     return rows.select("key", "source", "source_size", "class", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, schedules: tuple[Schedule, ...] = SCHEDULES, most: int = 3) -> DataFrame:
-    """docs with a struct column ``__mix``: size, source_size, target, copies, positions.
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, schedules: tuple[Schedule, ...] = SCHEDULES, most: int = 3, drop_text: bool = False) -> DataFrame:
+    """docs with a struct as last column, ``__mix``: size, source_size, target, copies, positions.
 
-    Within its source a document has a place by the hash of its id. A source is read in that order,
+    Within its source a document has a place by the hash of its id and text. A source is read in that order,
     over and over, until its target is reached: the document in which that happens is taken if its
     middle comes before. A copy's share of the target drawn so far, put through the inverse of the
     integrated schedule, is its position in the training run (0 to 1).
 
     Prefix sums have two levels (buckets of the hash, then rows within a bucket), so a source that
-    holds a third of all rows spreads over 4096 buckets; documents are shuffled once, by source and
-    bucket. Null texts have size 0 and are never taken. Null sources form one source of their own,
-    the last. Rows with one id (or null ids) are in order of size and text hash; rows equal in all
-    are interchangeable. An empty table gives no rows.
+    holds a third of all rows spreads over 4096 buckets, and so do null ids and much repeated ones, but for
+    rows equal in id and text. Documents are shuffled once, by source and bucket. With ``drop_text`` the
+    words are counted once and texts go no further; else once for the sums and once where the rows are placed.
+
+    Null texts have size 0 and are never taken. Null sources form one source of their own,
+    the last. Rows equal in id and text are interchangeable. An empty table gives no rows, and texts may be of any
+    length. All columns of docs stay whatever their names: if one is called ``__mix``, ours gets an underscore more.
     """
-    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.withColumns({"__size": word_count(F.col(text_col).cast("string")), "__key": F.when(F.col(source_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source_col))), "__order": order, "__bucket": F.substring(order, 1, BUCKET_DIGITS), "__tie": F.xxhash64(text_col)})
-    sums = rows.groupBy("__key", "__bucket").agg(F.sum("__size").alias("bucket_size"))
-    sums = sums.withColumn("before", F.sum("bucket_size").over(Window.partitionBy("__key").orderBy("__bucket")) - F.col("bucket_size"))
-    sizes = sums.groupBy(F.col("__key").alias("key")).agg(F.sum("bucket_size").alias("source_size"))
-    whole = targets(sizes.withColumn("source", F.when(F.col("key") != "", F.substr("key", F.lit(2)))), weights, most)
-    known = sums.join(whole, sums["__key"] == whole["key"]).select(sums["__key"].alias("k"), sums["__bucket"].alias("b"), "before", "source_size", "class", "target")
-    rows = rows.join(known, (rows["__key"] == known["k"]) & (rows["__bucket"] == known["b"]))
-    place = Window.partitionBy("__key", "__bucket").orderBy("__order", "__size", "__tie")
-    rows = rows.withColumn("__start", F.col("before") + F.sum("__size").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"))
+    text = named(text_col).cast("string")
+    order = F.md5(F.concat(F.coalesce(named(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+    kept = docs.drop(text_col) if drop_text else docs
+    source = named(source_col).cast("string")
+    rows = docs.select(every(kept).alias("doc"), word_count(text).alias("size"), F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source)).alias("key"), order.alias("order"))
+    rows = cut(rows) if drop_text else rows
+    rows = rows.withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
+    sums = cut(rows.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size")))
+    buckets = sums.count()
+    sizes = sums.groupBy("key").agg(F.sum("bucket_size").alias("source_size"))
+    whole = targets(sizes.withColumn("source", F.when(F.col("key") != "", F.substr("key", F.lit(2)))), weights, most).drop("source")
+    sums = sums.withColumn("before", F.sum("bucket_size").over(Window.partitionBy("key").orderBy("bucket")) - F.col("bucket_size"))
+    rows = rows.join(small_side(sums.join(whole, "key").drop("bucket_size"), buckets), ["key", "bucket"])
+    place = Window.partitionBy("key", "bucket").orderBy("order")
+    rows = rows.withColumn("start", F.col("before") + F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     full = F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))
-    extra = (F.col("__start") + F.col("__size") / 2) < F.col("target") - full * F.col("source_size")
-    rows = rows.withColumn("__copies", F.when(F.col("__size") == 0, 0).otherwise(full + extra.cast("int")).cast("int"))
-    share = lambda j: F.least(F.lit(1.0), (j * F.col("source_size") + F.col("__start") + F.col("__size") / 2) / F.col("target"))
+    extra = (F.col("start") + F.col("size") / 2) < F.col("target") - full * F.col("source_size")
+    rows = rows.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(full + extra.cast("int")).cast("int"))
+    share = lambda j: F.least(F.lit(1.0), (j * F.col("source_size") + F.col("start") + F.col("size") / 2) / F.col("target"))
 
     def position(j: Column) -> Column:
         out = invert(share(j), schedules[-1])
@@ -90,11 +100,13 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             out = F.when(F.pmod(F.col("class"), F.lit(len(schedules))) == k, invert(share(j), schedules[k])).otherwise(out)
         return out
 
-    positions = F.when(F.col("__copies") > 0, F.transform(F.sequence(F.lit(0), F.col("__copies") - 1), position)).otherwise(F.array().cast("array<double>"))
-    return rows.withColumn("__mix", F.struct(F.col("__size").alias("size"), "source_size", "target", F.col("__copies").alias("copies"), positions.alias("positions"))).select(*[docs[c] for c in docs.columns], "__mix")
+    positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), position)).otherwise(F.array().cast("array<double>"))
+    rows = rows.select("doc", F.struct("size", "source_size", "target", "copies", positions.alias("positions")).alias("mix"))
+    return rows.select(*[F.col("doc")[c].alias(c) for c in kept.columns], F.col("mix").alias(fresh(kept, "__mix")))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The training sequence: a row for each copy taken, with the columns of docs, range-sorted by position."""
-    rows = plan(docs, **options).withColumn("__at", F.explode("__mix.positions"))
-    return rows.repartitionByRange("__at").sortWithinPartitions("__at").drop("__at", "__mix")
+    rows = plan(docs, **options)
+    rows = rows.select(every(docs).alias("doc"), F.explode(named(rows.columns[-1])["positions"]).alias("at"))
+    return rows.repartitionByRange("at").sortWithinPartitions("at").select(*[F.col("doc")[c].alias(c) for c in docs.columns])

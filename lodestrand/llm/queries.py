@@ -48,12 +48,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""
-WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS o, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS o, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS i FROM d GROUP BY source),
 w AS (SELECT *, (i % 3 + 1)::BIGINT AS weight, 3 * source_size AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - (sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS UNBOUNDED PRECEDING) - cap))::DOUBLE / (sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
 t AS (SELECT source, source_size, i % 3 AS class, least(cap::DOUBLE, weight * (SELECT arg_min(level, cap / weight) FROM l WHERE level <= cap / weight)) AS target FROM l),
-p AS (SELECT d.*, source_size, class, target, sum(size) OVER (PARTITION BY d.source ORDER BY o, size ROWS UNBOUNDED PRECEDING) - size AS start, floor(target / nullif(source_size, 0)) AS full_copies FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT d.*, source_size, class, target, sum(size) OVER (PARTITION BY d.source ORDER BY o ROWS UNBOUNDED PRECEDING) - size AS start, floor(target / nullif(source_size, 0)) AS full_copies FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE full_copies + (start + size / 2 < target - full_copies * source_size)::INT END AS copies, least(1.0::DOUBLE, (start + size / 2) / target) AS u FROM p)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken,
        CASE WHEN copies > 0 THEN round(CASE class WHEN 0 THEN (sqrt(2.25 - 2 * u) - 1.5) / -1.0 WHEN 1 THEN u ELSE CASE WHEN u < 0.375::DOUBLE THEN (sqrt(0.25 + 2 * u) - 0.5) ELSE 0.5 + (sqrt(1.0 + 2 * (u - 0.375)) - 1.0) END END, 6) END AS first_position
@@ -62,7 +62,7 @@ FROM c
 )
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = mixing.plan(docs).select("doc_id", "__mix.size", "__mix.source_size", "__mix.target", (F.col("__mix.copies") * F.col("__mix.size")).alias("taken"), F.round(F.get("__mix.positions", F.lit(0)), 6).alias("first_position"))
+    rows = mixing.plan(docs, drop_text=True).select("doc_id", "__mix.size", "__mix.source_size", "__mix.target", (F.col("__mix.copies") * F.col("__mix.size")).alias("taken"), F.round(F.get("__mix.positions", F.lit(0)), 6).alias("first_position"))
     # Documents that the mix leaves out have no position; their ids spread them.
     return rows.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 

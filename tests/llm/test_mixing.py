@@ -32,7 +32,7 @@ def plain_taken(rows):
         sizes[s] = sizes.get(s, 0) + size(t)
     target, out = plain_targets(sizes), []
     for source, total in sizes.items():
-        own = sorted((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), size(t), i) for i, t, s in rows if s == source)
+        own = sorted((hashlib.md5((("" if i is None else str(i)) + ":" + hashlib.md5((t or "").encode()).hexdigest()).encode()).hexdigest(), size(t), i) for i, t, s in rows if s == source)
         full = int(target[source] // total) if total else 0
         rest, at = target[source] - full * total, 0
         for _, n, i in own:
@@ -44,7 +44,13 @@ def plain_taken(rows):
 
 def check(spark, rows):
     docs = spark.createDataFrame([(i, t, s, "clash") for i, t, s in rows], "doc_id bigint, text string, source string, size string")
-    got = mixing.plan(docs).select("doc_id", "__mix.*", "source").collect()
+    names = ["__mix", "__size", "__order", "__at", "before", "target", "source_size", "class", "key", "bucket", "order", "start", "copies", "doc", "a.b"]
+    for c in names:
+        docs = docs.withColumn(c, F.lit(c))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and all(r[c] == c for r in mixed.collect() for c in names)
+    assert sorted(map(repr, mixing.plan(docs, drop_text=True).collect())) == sorted(map(repr, mixing.plan(docs).drop("text").collect()))
+    got = mixing.plan(docs).select("doc_id", "__mix_.*", "source").collect()
     assert sorted(((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["copies"] * r["size"]) for r in got), key=str) == plain_taken(rows)
     return docs, got
 
@@ -61,6 +67,12 @@ def test_against_brute_force(spark):
         assert abs(taken - own[0]["target"]) <= max(r["size"] for r in own) / 2 + 1e-6
 
 
+def test_null_and_repeated_ids_are_spread(spark):
+    docs = spark.createDataFrame([(None, f"words of {i}", "a") for i in range(400)], "doc_id bigint, text string, source string")
+    assert mixing.plan(docs).select(F.spark_partition_id()).distinct().count() > 1
+    check(spark, [(None, f"words of {i}", "a") for i in range(40)] + [(3, "x", "a")] * 5)
+
+
 def test_one_source_and_empty_tables(spark):
     check(spark, [(i, "a b c", "only") for i in range(10)])
     check(spark, [(1, None, None), (2, "", "x")])
