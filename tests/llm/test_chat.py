@@ -88,3 +88,15 @@ def test_a_long_conversation(spark):
     rows = [(1, k, "user" if k % 2 else "assistant", f"t{k} " + "long " * 50) for k in range(700)]
     made = chat.conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
     assert chat.parse(made[0]["formatted"]) == [(r, t) for _, _, r, t in rows]
+
+
+def test_cycles_are_left_out(spark):
+    rows = [("two", 1, 2), ("two", 2, 1), ("two", 3, 2), ("two", 10, None), ("two", 11, 10)]
+    rows += [("three", 1, 2), ("three", 2, 3), ("three", 3, 1), ("three", 4, 3), ("three", 5, 4), ("three", 6, 4)]
+    rows += [("self", 1, 1), ("self", 2, 1), ("self", 3, None)]
+    rows += [("deep", i, i - 1 if i else None) for i in range(150)] + [("deep", 1000 + i, 1000 + (i + 1) % 90) for i in range(90)] + [("deep", 5000, 1000)]
+    nodes = spark.createDataFrame([(*r, 1.0) for r in rows], "tree string, node bigint, parent bigint, score double")
+    got = {}
+    for r in chat.paths(nodes, top=None).collect():
+        got.setdefault((r["tree"], r["leaf"]), {})[r["depth"]] = r["node"]
+    assert {k: [v[d] for d in sorted(v)] for k, v in got.items()} == {("two", 11): [10, 11], ("self", 3): [3], ("deep", 149): list(range(150))}
