@@ -8,14 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the session's checkpoint folder; a temporary one only where none is set."""
+    """Materialise df in the session's checkpoint folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the session's checkpoint folder, or a temporary one where none is set."""
+    """A folder that driver and executors share: the session's checkpoint folder.
+
+    Where none is set, a temporary one stands in on a local master; on a cluster, whose machines
+    wouldn't see it, that is an error.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestrand-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestrand-"))
     return sc.getCheckpointDir()
