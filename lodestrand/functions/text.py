@@ -27,9 +27,20 @@ ORGANISATION = r"\b[A-Z][a-zA-Z]*\s*(?:Inc|Corp|LLC|Ltd|Company)\b"
 LOCATION = r"\b(?:in|at|from)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"
 
 
-def ascii_fold(text: Column) -> Column:
-    """Every non-ASCII character as a z: regex engines then agree on what a word is."""
-    return F.regexp_replace(text, r"[^\x00-\x7F]", "z")
+LETTER = r"[\p{L}\p{N}_]"
+
+
+def on_any_text(pattern: str) -> str:
+    """A pattern whose words, and edges of words at its ends, hold for letters and digits of all scripts, whatever the JVM's version."""
+    pattern = pattern.replace(r"\w", LETTER).replace(r"\s", r"[ \t\n\r\f\x0b]")
+    if pattern.startswith(r"\b"):
+        pattern = f"(?<!{LETTER}){pattern[2:]}"
+    return f"{pattern[:-2]}(?!{LETTER})" if pattern.endswith(r"\b") else pattern
+
+
+def folded(text: Column) -> Column:
+    """Letters and digits beyond ASCII as underscores: for digests that an engine without such words has to give, too."""
+    return F.regexp_replace(text, r"[^\x00-\x7F\p{S}\p{P}\p{Z}\p{C}\p{M}]", "_")
 
 
 def words(text: Column) -> Column:
@@ -42,12 +53,12 @@ def word_count(text: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(on_any_text(ENTITY)), F.lit(0))
 
 
 def all_entities(text: Column) -> Column:
     """Distinct names, organisations and places, in order."""
-    found = [F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+\b"), F.lit(0)), F.regexp_extract_all(text, F.lit(ORGANISATION), F.lit(0)), F.regexp_extract_all(text, F.lit(LOCATION), F.lit(1))]
+    found = [F.regexp_extract_all(text, F.lit(on_any_text(r"\b[A-Z][a-z]+\b")), F.lit(0)), F.regexp_extract_all(text, F.lit(on_any_text(ORGANISATION)), F.lit(0)), F.regexp_extract_all(text, F.lit(on_any_text(LOCATION)), F.lit(1))]
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
 
@@ -60,14 +71,14 @@ def sentiment(text: Column, positive: tuple[str, ...] = POSITIVE, negative: tupl
 def mask(text: Column, masks=MASKS) -> Column:
     """Personal data replaced by fixed marks, pattern after pattern."""
     for pattern, kind in masks:
-        text = F.regexp_replace(text, pattern, f"ANON_{kind}")
+        text = F.regexp_replace(text, on_any_text(pattern), f"ANON_{kind}")
     return text
 
 
 def sensitive(word: Column) -> Column:
     hit = F.lit(False)
     for pattern in SENSITIVE:
-        hit = hit | word.rlike(pattern)
+        hit = hit | word.rlike(on_any_text(pattern))
     named = (F.length(word) > 2) & word.rlike(r"^[A-Z][^A-Z]*[a-z][^A-Z]*$") & word.isin(*SENSITIVE_NAMES)
     return hit | named
 

@@ -66,8 +66,8 @@ def reconstruction(rows: DataFrame, by: str) -> DataFrame:
 
 
 def terms(docs: DataFrame, text: Column) -> DataFrame:
-    """(doc_id, term, tf): words of two characters or more, counted."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"\b\w\w+\b"), F.lit(0))
+    """(doc_id, term, tf): words of two letters or digits of any script, or more, counted."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     return docs.select("doc_id", F.explode(found).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 

@@ -6,28 +6,30 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as tx
+from lodestrand.functions.storage import cut
 from lodestrand.functions.vectors import cosine, l2
 from lodestrand.operators import blocked, graph, search
 from lodestrand.registry import query
 from lodestrand.tables import SQL_E, load, vectors
 
-_FOLD = r"regexp_replace(text, '[^\x00-\x7F]', 'z', 'g')"
+# DuckDB's words are ASCII ones: other letters and digits stand as underscores there, which are letters of words but match nothing else.
+_FOLD = r"regexp_replace(text, '[^\x00-\x7F\pS\pP\pZ\pC\pM]', '_', 'g')"
 _WS = r"[ \t\n\r\f\x0b]+"
 _WORDS = rf"list_filter(string_split_regex(lower({{0}}), '{_WS}'), lambda w: w <> '')"
-_ENTITY = r"regexp_extract_all({0}, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b')"
+_ENTITY = r"regexp_extract_all({0}, '\b[A-Z][a-z]+(?:[ \t\n\r\f\x0b]+[A-Z][a-z]+)*\b')"
 
 
 def _docs(spark, d):
-    return load(spark, d, "documents").withColumn("folded", tx.ascii_fold(F.col("text")))
+    return load(spark, d, "documents")
 
 
 @query(f"SELECT doc_id, len(e)::BIGINT AS n_entities, e[1] AS first_entity FROM (SELECT doc_id, {_ENTITY.format(_FOLD)} AS e FROM documents)")
 def entity_extract(spark, d):
-    return _docs(spark, d).select("doc_id", tx.entities(F.col("folded")).alias("e")).select("doc_id", F.size("e").cast("bigint").alias("n_entities"), F.get("e", F.lit(0)).alias("first_entity"))
+    return _docs(spark, d).select("doc_id", tx.entities(F.col("text")).alias("e")).select("doc_id", F.size("e").cast("bigint").alias("n_entities"), F.get("e", F.lit(0)).alias("first_entity"))
 
 
 def _triples(spark, d):
-    found = _docs(spark, d).select("doc_id", tx.entities(F.col("folded")).alias("e")).where("size(e) > 1")
+    found = _docs(spark, d).select("doc_id", tx.entities(F.col("text")).alias("e")).where("size(e) > 1")
     pair = F.explode(F.arrays_zip(F.slice("e", F.lit(1), F.size("e") - 1).alias("subject"), F.slice("e", F.lit(2), F.size("e") - 1).alias("object")))
     return found.select(pair.alias("p")).select("p.subject", F.lit("mentions_with").alias("predicate"), "p.object", F.lit(1.0).alias("confidence"))
 
@@ -78,21 +80,22 @@ def _masked(t: str) -> str:
 
 @query(f"SELECT doc_id, sha256({_masked(_FOLD)}) AS masked FROM documents")
 def pii_mask(spark, d):
-    return _docs(spark, d).select("doc_id", F.sha2(tx.mask(F.col("folded")).cast("binary"), 256).alias("masked"))
+    """The text itself is masked; only the digest, which DuckDB has to give too, is of its folded form."""
+    return _docs(spark, d).select("doc_id", F.sha2(tx.folded(tx.mask(F.col("text"))).cast("binary"), 256).alias("masked"))
 
 
-@query(r"WITH m AS (SELECT source AS context, unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', 'z', 'g'), '\b[A-Z][a-z]+ [A-Z][a-z]+\b')) AS value, doc_id FROM documents), f AS (SELECT context, value, min(doc_id) AS first_doc FROM m GROUP BY 1, 2) SELECT context, value, 'ANON_NAME_' || lpad((row_number() OVER (PARTITION BY context ORDER BY first_doc, value) - 1)::VARCHAR, 4, '0') AS pseudonym FROM f")
+@query(r"WITH m AS (SELECT source AS context, unnest(regexp_extract_all(" + _FOLD + r", '\b[A-Z][a-z]+ [A-Z][a-z]+\b')) AS value, doc_id FROM documents), f AS (SELECT context, value, min(doc_id) AS first_doc FROM m GROUP BY 1, 2) SELECT context, value, 'ANON_NAME_' || lpad((row_number() OVER (PARTITION BY context ORDER BY first_doc, value) - 1)::VARCHAR, 4, '0') AS pseudonym FROM f")
 def pii_pseudonyms(spark, d):
     """Names numbered by first occurrence in their context: the same value has the same pseudonym throughout."""
-    found = _docs(spark, d).select(F.col("source").alias("context"), "doc_id", F.explode(F.regexp_extract_all("folded", F.lit(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"), F.lit(0))).alias("value"))
+    found = _docs(spark, d).select(F.col("source").alias("context"), "doc_id", F.explode(F.regexp_extract_all("text", F.lit(tx.on_any_text(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b")), F.lit(0))).alias("value"))
     first = found.groupBy("context", "value").agg(F.min("doc_id").alias("first_doc"))
     number = F.row_number().over(Window.partitionBy("context").orderBy("first_doc", "value")) - 1
     return first.select("context", "value", F.concat(F.lit("ANON_NAME_"), F.lpad(number.cast("string"), 4, "0")).alias("pseudonym"))
 
 
-@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^\\x00-\\x7F]', 'z', 'g'), ' ')) AS w FROM documents) WHERE " + " OR ".join(f"regexp_matches(w, '{p}')" for p in tx.SENSITIVE) + " OR w IN ('John', 'Jane', 'Smith', 'Doe') GROUP BY 1")
+@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(" + _FOLD + ", ' ')) AS w FROM documents) WHERE " + " OR ".join(f"regexp_matches(w, '{p}')" for p in tx.SENSITIVE) + " OR w IN ('John', 'Jane', 'Smith', 'Doe') GROUP BY 1")
 def sensitive_flag(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.explode(F.split("folded", " ")).alias("w"))
+    rows = _docs(spark, d).select("doc_id", F.explode(F.split("text", " ")).alias("w"))
     return rows.where(tx.sensitive(F.col("w"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -127,23 +130,28 @@ def compression_stats(spark, d):
 _GRAMS = "CASE WHEN length({0}) < 3 THEN [] ELSE list_distinct(list_transform(generate_series(1, length({0}) - 2), lambda i: substr({0}, i, 3))) END"
 
 
-@query(f"WITH {_PREVIOUS}, l AS (SELECT doc_id, other_id, lower({_FOLD}) AS a, lower({_FOLD.replace('text', 'other')}) AS b FROM p WHERE other_id IS NOT NULL), g AS (SELECT doc_id, other_id, {_GRAMS.format('a')} AS x, {_GRAMS.format('b')} AS y FROM l) SELECT doc_id AS a, other_id AS b, round(coalesce(len(list_intersect(x, y)) / nullif(len(x) + len(y) - len(list_intersect(x, y)), 0), 0), 6)::DOUBLE AS jaccard FROM g")
+@query(f"WITH {_PREVIOUS}, l AS (SELECT doc_id, other_id, lower(text) AS a, lower(other) AS b FROM p WHERE other_id IS NOT NULL), g AS (SELECT doc_id, other_id, {_GRAMS.format('a')} AS x, {_GRAMS.format('b')} AS y FROM l) SELECT doc_id AS a, other_id AS b, round(coalesce(len(list_intersect(x, y)) / nullif(len(x) + len(y) - len(list_intersect(x, y)), 0), 0), 6)::DOUBLE AS jaccard FROM g")
 def trigram_jaccard(spark, d):
     """Lexical similarity of each document and the one before in its source, over whole texts."""
     rows = _with_previous(spark, d)
-    return rows.select(F.col("doc_id").alias("a"), F.col("other_id").alias("b"), F.round(tx.trigram_jaccard(tx.ascii_fold(F.col("text")), tx.ascii_fold(F.col("other"))), 6).alias("jaccard"))
+    return rows.select(F.col("doc_id").alias("a"), F.col("other_id").alias("b"), F.round(tx.trigram_jaccard(F.col("text"), F.col("other")), 6).alias("jaccard"))
 
 
-_ENTROPY = "c AS (SELECT doc_id, b, count(*) AS n FROM (SELECT doc_id, unnest(string_split(left(text, 1024), '')) AS b FROM documents WHERE text <> '') GROUP BY 1, 2), h AS (SELECT doc_id, -sum(n / t * log2(n / t)) / 8 AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM c) GROUP BY 1)"
+_ENTROPY = "c AS (SELECT doc_id, b, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(left(hex(encode(text)), 2048), '..')) AS b FROM documents) GROUP BY 1, 2), h AS (SELECT doc_id, round(-sum(n / t * log2(n / t)) / 8, 9) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM c) GROUP BY 1)"
 
 
-@query(f"WITH {_ENTROPY} SELECT doc_id, round(entropy, 5) AS entropy, CASE WHEN octet_length(encode(text)) < 1024 OR entropy > 0.9 THEN 'none' WHEN entropy < 0.5 THEN 'zstd' ELSE 'snappy' END AS choice FROM h JOIN documents USING (doc_id) WHERE abs(entropy - 0.5) > 1e-9")
+@query(f"WITH {_ENTROPY} SELECT doc_id, round(coalesce(entropy, 0), 5) AS entropy, CASE WHEN coalesce(octet_length(encode(text)), 0) < 1024 OR entropy > 0.9 THEN 'none' WHEN entropy < 0.5 THEN 'zstd' ELSE 'snappy' END AS choice FROM documents LEFT JOIN h USING (doc_id)")
 def entropy_choice(spark, d):
-    """Entropy of a document's first 1024 characters and the codec that goes with it."""
-    docs = load(spark, d, "documents")
-    counts = docs.where("text <> ''").select("doc_id", F.octet_length("text").alias("size"), F.explode(F.split(F.left("text", F.lit(1024)), "")).alias("c")).groupBy("doc_id", "size", "c").agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("doc_id"))
-    rows = counts.withColumn("p", share).groupBy("doc_id", "size").agg((-F.sum(F.col("p") * F.log2("p")) / 8).alias("h")).where("abs(h - 0.5) > 1e-9")
+    """Entropy of a document's first 1024 bytes and the codec that goes with it; null and empty texts have none.
+
+    It is rounded before it is compared, so that the order of summation doesn't decide at the bounds.
+    """
+    docs = load(spark, d, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.hex(F.substring(F.encode("text", "UTF-8"), 1, 1024)).alias("head"))
+    pairs = F.regexp_extract_all(F.coalesce("head", F.lit("")), F.lit(".."), F.lit(0))
+    # A byte's count comes from the row itself: 256 values at most, so nothing is shuffled.
+    counts = F.transform(F.array_distinct(pairs), lambda b: F.size(F.filter(pairs, lambda x: x == b)) / F.greatest(F.size(pairs), F.lit(1)))
+    entropy = F.round(F.aggregate(counts, F.lit(0.0), lambda h, p: h - p * F.log2(p)) / 8, 9)
+    rows = docs.withColumn("h", entropy)
     return rows.select("doc_id", F.round("h", 5).alias("entropy"), F.when((F.col("size") < 1024) | (F.col("h") > 0.9), "none").when(F.col("h") < 0.5, "zstd").otherwise("snappy").alias("choice"))
 
 
@@ -294,12 +302,12 @@ def attended_vector(spark, d):
 
 # TF-IDF over all documents
 
-_TFIDF = f"d AS (SELECT doc_id, unnest(regexp_extract_all(lower({_FOLD}), '\\b\\w\\w+\\b')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM tf JOIN df USING (term), n), l AS (SELECT doc_id, sqrt(sum(w * w)) AS len FROM r GROUP BY 1), wt AS (SELECT doc_id, term, w / len AS weight FROM r JOIN l USING (doc_id))"
+_TFIDF = f"d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_]{{2,}}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM tf JOIN df USING (term), n), l AS (SELECT doc_id, sqrt(sum(w * w)) AS len FROM r GROUP BY 1), wt AS (SELECT doc_id, term, w / len AS weight FROM r JOIN l USING (doc_id))"
 
 
 def _weights(spark, d):
     docs = _docs(spark, d)
-    return search.tf_idf(search.terms(docs, F.col("folded")), docs.count())
+    return search.tf_idf(cut(search.terms(docs, F.col("text"))), docs.count())
 
 
 @query(f"WITH {_TFIDF} SELECT doc_id, term, round(weight, 5) AS weight FROM wt")
@@ -310,7 +318,7 @@ def tfidf_weights(spark, d):
 @query(f"WITH {_TFIDF} SELECT o.doc_id, round(sum(o.weight * q.weight), 5) AS score FROM wt o JOIN wt q USING (term) WHERE q.doc_id = 0 AND o.doc_id <> 0 GROUP BY 1 ORDER BY score DESC, o.doc_id LIMIT 10")
 def tfidf_search(spark, d):
     """The documents nearest to document 0: an inverted index, joined on its terms."""
-    weights = _weights(spark, d)
+    weights = cut(_weights(spark, d))
     asked = weights.where("doc_id = 0").select("term", F.col("weight").alias("q"))
     return weights.where("doc_id <> 0").join(asked, "term").groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 5).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
@@ -352,7 +360,7 @@ def topological_levels(spark, d):
 @query("WITH RECURSIVE ed AS (SELECT n_nationkey AS u, (n_nationkey * 7 + 3) % 25 AS v FROM nation), w AS (SELECT u, v FROM ed UNION SELECT w.u, ed.v FROM w JOIN ed ON w.v = ed.u) SELECT u AS node FROM w WHERE u = v")
 def cycle_check(spark, d):
     edges = load(spark, d, "nation").select(F.col("n_nationkey").alias("u"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("v"))
-    return graph.closure(edges).where("u = v").select(F.col("u").alias("node"))
+    return graph.on_cycles(edges)
 
 
 @query("WITH t AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dep FROM orders) SELECT o_orderkey FROM t WHERE o_orderstatus = 'O' AND (dep IS NULL OR dep = 'F')")
