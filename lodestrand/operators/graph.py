@@ -27,16 +27,47 @@ def neighbourhood(edges: DataFrame, start: list, hops: int, directed: bool = Fal
     return seen
 
 
-def closure(edges: DataFrame, most: int = 32) -> DataFrame:
-    """(u, v) for every v that can be reached from u, by doubling path lengths until nothing is new."""
-    known = cut(edges.select("u", "v").distinct())
-    for _ in range(most):
-        longer = known.alias("a").join(known.alias("b"), F.col("a.v") == F.col("b.u")).select("a.u", "b.v")
-        both = cut(known.unionByName(longer).distinct())
-        if both.count() == known.count():
-            return both
-        known = both
-    return known
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(node): every node that stands on a cycle of edges (u, v).
+
+    Nodes without a predecessor or without a successor are peeled off until none is left, so a graph without
+    cycles costs what its levels do. The rest, cycles and what lies between them, is coloured: each round
+    passes the greatest node on along edges, and who gets its own name back along the colour's edges is
+    of its component, which goes; a component of one node is a cycle only with an edge to itself.
+    """
+    links, out = cut(edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL").distinct()), None
+    while not links.isEmpty():
+        links, peeled = _peeled(links)
+        if links.isEmpty():
+            break
+        if peeled:
+            continue
+        colour = cut(links.select(F.col("u").alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:  # forward: the greatest node from which each can be reached
+            offered = links.join(colour.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.max("colour").alias("offer"))
+            new = cut(colour.join(offered, "node", "left").select("node", F.greatest("colour", "offer").alias("colour")))
+            if new.exceptAll(colour).isEmpty():
+                break
+            colour = new
+        own = links.join(colour.withColumnRenamed("node", "u").withColumnRenamed("colour", "a"), "u").join(colour.withColumnRenamed("node", "v").withColumnRenamed("colour", "b"), "v")
+        own = cut(own.where("a = b").select("u", "v", "a"))
+        reached = cut(colour.where("node = colour").select("node"))
+        frontier = reached
+        while not frontier.isEmpty():  # back: who reaches the colour's root within the colour
+            frontier = cut(own.join(frontier, F.col("v") == F.col("node")).select(F.col("u").alias("node")).distinct().join(reached, "node", "left_anti"))
+            reached = cut(reached.unionByName(frontier))
+        one = own.join(reached.withColumnRenamed("node", "u"), "u", "left_semi").join(reached.withColumnRenamed("node", "v"), "v", "left_semi")
+        found = cut(one.select(F.col("u").alias("node")).distinct())
+        out = found if out is None else cut(out.unionByName(found).distinct())
+        gone = reached.withColumnRenamed("node", "g")
+        links = cut(links.join(gone, F.col("u") == F.col("g"), "left_anti").join(gone, F.col("v") == F.col("g"), "left_anti"))
+    return out if out is not None else edges.select(F.col("u").alias("node")).limit(0)
+
+
+def _peeled(links: DataFrame) -> tuple[DataFrame, bool]:
+    """links without those from a node that none leads to, or to one that leads nowhere; and whether there were any."""
+    rest = cut(links.join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(links.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"))
+    return rest, rest.count() < links.count()
 
 
 def levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -59,6 +90,24 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataF
     return done if done is not None else left.withColumn("level", F.lit(None).cast("bigint"))
 
 
+def walk(parents: DataFrame) -> DataFrame:
+    """(node, root, depth) from links (node, parent; null for a root): each walked to its end by pointers that double.
+
+    A parent that is no node counts as none. Nodes on cycles, and below them, have neither root nor depth. n levels take log2 n joins.
+    """
+    nodes = cut(parents.select("node", "parent").dropDuplicates(["node"]))
+    known = nodes.select(F.col("node").alias("k"))
+    at = F.coalesce("k", "node")
+    now = cut(nodes.join(known, F.col("parent") == F.col("k"), "left").select("node", at.alias("at"), F.when(F.col("k").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.col("k").isNull().alias("ended")))
+    size, reach = now.count(), 1
+    while reach <= size and not now.where("NOT ended").isEmpty():
+        ahead = now.select(F.col("node").alias("n"), F.col("at").alias("next"), F.col("depth").alias("more"), F.col("ended").alias("there"))
+        now = cut(now.join(ahead, F.col("at") == F.col("n")).select("node", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("ended") | F.col("there")).alias("ended")))
+        reach *= 2
+    ended = F.col("ended")
+    return now.select("node", F.when(ended, F.col("at")).alias("root"), F.when(ended, F.col("depth")).alias("depth"))
+
+
 def statistics(triples: DataFrame, n: int = 10) -> dict[str, DataFrame]:
     """Tables of a graph's statistics: totals, most mentioned entities, relations."""
     mentions = triples.select(F.col("subject").alias("entity")).unionByName(triples.select(F.col("object").alias("entity")))

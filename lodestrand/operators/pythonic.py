@@ -44,8 +44,13 @@ def codec_sizes(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def dictionary_sizes(rows: DataFrame, id_col: str, text_col: str, samples: int = 200) -> DataFrame:
-    """(id, plain, primed): compressed sizes without and with a dictionary of the ends of the first samples by id, 32 KB at most."""
-    primer = "".join(r[0][-400:] for r in rows.orderBy(id_col).select(text_col).where(F.col(text_col).isNotNull()).limit(samples).collect()).encode()[-32768:]
+    """(id, plain, primed): compressed sizes without and with a dictionary fitted on a sample.
+
+    The dictionary is made of pieces of ``samples`` texts, those with the least hashes of id and text: 400 characters from
+    where the hash says, 32 KB in all, which is all that the codec can look back on. Every row is compressed, whole.
+    """
+    picked = rows.where(F.col(text_col).isNotNull()).select(text_col, F.xxhash64(id_col, text_col).alias("h")).orderBy("h", text_col).limit(samples).collect()
+    primer = "".join(t[h % max(1, len(t) - 399) :][:400] for t, h in picked).encode()[-32768:]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def primed(data: bytes) -> int:

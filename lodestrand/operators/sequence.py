@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.functions.storage import cut
 from lodestrand.tables import micros
 
 
@@ -54,18 +55,59 @@ def rolling_baseline(df: DataFrame, by: list[str], value: str, order: list[str],
     return df.withColumns({"n_seen": F.count(value).over(w), "mean": F.avg(value).over(w), "deviation": F.stddev_samp(value).over(w)}).where((F.col("n_seen") == rows) & (F.col(value) > F.col("mean") + sigmas * F.col("deviation")))
 
 
-def fill_bins(df: DataFrame, by: list[str], size: str, order: list[str], limit: float, name: str = "bin") -> DataFrame:
-    """A bin for each row: rows go in order to the same bin until one would pass the limit and begins the next.
+def in_order(df: DataFrame, by: list[str], order: list[str], size: str, step, name: str) -> DataFrame:
+    """(by, order, name): what ``step(state, size) -> (state, number)`` says of each row, in order within its group.
 
-    The rule depends on all rows before, so a group's rows are folded in order, in one JVM aggregate a group.
+    For rules that depend on all rows before. A group's rows pass through one task one after another, which holds its state and a batch.
     """
-    listed = F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("double").alias("__size"))))
-    zero = F.struct(F.lit(0).cast("bigint").alias("bin"), F.lit(0.0).alias("held"), F.array().cast("array<bigint>").alias("bins"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = df.select(*by, *order, F.col(size).cast("double").alias("__size")).repartition(*by).sortWithinPartitions(*by, *order)
+
+    def run(batches):
+        group, state = None, None
+        for pdf in batches:
+            out, keys = [], [*zip(*[pdf[c].astype(object).where(pdf[c].notna(), None) for c in by], strict=True)]
+            for key, x in zip(keys, pdf["__size"].tolist(), strict=True):
+                if key != group:
+                    group, state = key, None
+                state, number = step(state, x)
+                out.append(number)
+            yield pdf.drop(columns="__size").assign(**{name: out})
+
+    return rows.mapInPandas(run, ", ".join([*[f"{c} {kinds[c]}" for c in [*by, *order]], f"{name} bigint"]))
+
+
+def fill_bins(df: DataFrame, by: list[str], size: str, order: list[str], limit: float, name: str = "bin") -> DataFrame:
+    """A bin for each row: rows go in order to the same bin until one would pass the limit and begins the next."""
+
+    def step(state, x):
+        at, held = state or (0, 0.0)
+        at, held = (at + 1, x) if held > 0 and held + x > limit else (at, held + x)
+        return (at, held), at
+
+    return in_order(df, by, order, size, step, name)
+
+
+def flushes(df: DataFrame, by: list[str], size: str, order: list[str], most_rows: int, most_size: float, name: str = "flush") -> DataFrame:
+    """Which write of a buffer each row goes with: a buffer is written as soon as it holds so many rows, or so much."""
+
+    def step(state, x):
+        at, n, held = state or (0, 0, 0.0)
+        n, held = n + 1, held + x
+        return ((at + 1, 0, 0.0) if n >= most_rows or held >= most_size else (at, n, held)), at
+
+    return in_order(df, by, order, size, step, name)
 
-    def step(s: Column, x: Column) -> Column:
-        new = (s["held"] + x["__size"] > limit) & (s["held"] > 0)
-        bin_ = s["bin"] + new.cast("bigint")
-        return F.struct(bin_.alias("bin"), F.when(new, x["__size"]).otherwise(s["held"] + x["__size"]).alias("held"), F.concat(s["bins"], F.array(bin_)).alias("bins"))
 
-    rows = df.groupBy(*by).agg(listed.alias("__rows")).withColumn("__bins", F.aggregate("__rows", zero, step)["bins"])
-    return rows.select(*by, F.explode(F.arrays_zip("__rows", "__bins")).alias("z")).select(*by, *[F.col(f"z.__rows.{o}").alias(o) for o in order], F.col("z.__bins").alias(name))
+def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """rows with their place (from 0) in the order of columns that tell all rows apart, counted in ranges side by side: no task sees all rows."""
+    ranged = cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    counts = ranged.groupBy("__range").count().orderBy("__range").collect()  # a row a partition
+    before, offset = 0, []
+    for r in counts:
+        offset += [F.lit(r[0]), F.lit(before)]
+        before += r[1]
+    if not offset:
+        return rows.withColumn(name, F.lit(None).cast("bigint"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranged.withColumn(name, (place + F.create_map(*offset)[F.col("__range")]).cast("bigint")).drop("__range")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hmac
 import uuid
 
 from pyspark.ml.clustering import KMeans
@@ -168,21 +169,28 @@ def shamir_roundtrip(spark, d):
     return py.reconstruct(points.where("x IN (2, 4, 5)"))
 
 
+#: Shares are numbers below this prime, and add up to the value modulo it.
+SHARE_PRIME = 2**61 - 1
+
+
 @udtf(returnType="party: bigint, share: bigint")
 class AddShares:
-    """One value as three numbers that add up to it."""
+    """A number as three shares that add up to it: two are keyed digests of the row, so none tells anything without the key."""
 
-    def eval(self, value: int):
-        a, b = value * 7919 % 1000003, value * 104729 % 1000003
-        for party, share in enumerate((a, b, value - a - b)):
+    def eval(self, key: str, row: int, value: int):
+        a, b = (int.from_bytes(hmac.digest(key.encode(), f"{party}:{row}".encode(), "sha256")[:16]) % SHARE_PRIME for party in (0, 1))
+        for party, share in enumerate((a, b, (value - a - b) % SHARE_PRIME)):
             yield party, share
 
 
+_HELD = "(sum(share::decimal(38,0)) % 2305843009213693951)::bigint"
+
+
 @query("SELECT o_orderkey, o_orderkey AS total, 3::BIGINT AS parties FROM orders")
 def share_udtf(spark, d):
     load(spark, d, "orders").select("o_orderkey").createOrReplaceTempView("__shared")
     spark.udtf.register("add_shares", AddShares)
-    return spark.sql("SELECT o_orderkey, sum(share) AS total, count(*) AS parties FROM __shared, LATERAL add_shares(o_orderkey) GROUP BY o_orderkey")
+    return spark.sql(f"SELECT o_orderkey, {_HELD} AS total, count(*) AS parties FROM __shared, LATERAL add_shares('an example key', o_orderkey, o_orderkey) GROUP BY o_orderkey")
 
 
 @query("SELECT o_orderpriority, sum(o_orderkey)::BIGINT AS total FROM orders GROUP BY 1")
@@ -190,21 +198,38 @@ def secure_sum(spark, d):
     """Sums from which no party learns a value: each holds the sum of its own shares only."""
     load(spark, d, "orders").select("o_orderkey", "o_orderpriority").createOrReplaceTempView("__shared")
     spark.udtf.register("add_shares", AddShares)
-    parties = spark.sql("SELECT o_orderpriority, party, sum(share) AS held FROM __shared, LATERAL add_shares(o_orderkey) GROUP BY o_orderpriority, party")
-    return parties.groupBy("o_orderpriority").agg(F.sum("held").alias("total"))
+    spark.sql(f"SELECT o_orderpriority, party, {_HELD} AS share FROM __shared, LATERAL add_shares('an example key', o_orderkey, o_orderkey) GROUP BY o_orderpriority, party").createOrReplaceTempView("__held")
+    return spark.sql(f"SELECT o_orderpriority, {_HELD} AS total FROM __held GROUP BY o_orderpriority")
 
 
-@query("SELECT vec_id, true AS bound FROM embeddings")
+@query("SELECT vec_id, vec_id % 7 <> 0 AND vec_id % 11 <> 0 AND vec_id % 13 <> 0 AS bound FROM embeddings")
 def semantic_commitment(spark, d):
+    """Commitments opened with another text, another nonce or a vector that differs in one component don't hold."""
     rows = load(spark, d, "embeddings").select("vec_id", "embedding", F.concat(F.lit("text "), "vec_id").alias("text"), F.col("vec_id").cast("string").alias("nonce"))
     made = rows.withColumn("c", py.commitment("embedding", "text", "nonce"))
-    return made.select("vec_id", (py.commitment("embedding", "text", "nonce") == F.col("c")).alias("bound"))
+    shown = made.withColumns({
+        "text": F.when(F.col("vec_id") % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")),
+        "nonce": F.when(F.col("vec_id") % 11 == 0, F.concat(F.lit("0"), "nonce")).otherwise(F.col("nonce")),
+        "embedding": F.when(F.col("vec_id") % 13 == 0, F.transform("embedding", lambda x, i: F.when(i == 0, x + F.lit(1.0).cast("float")).otherwise(x))).otherwise(F.col("embedding")),
+    })
+    return shown.select("vec_id", (py.commitment("embedding", "text", "nonce") == F.col("c")).alias("bound"))
 
 
-@query("SELECT n_name AS name, r_name AS best FROM nation JOIN region ON n_regionkey = r_regionkey WHERE false")
+_BYTES = "list_transform(generate_series(0, 31), lambda i: ('0x' || substr(sha256({0}), (2 * i + 1)::BIGINT, 2))::INT - 127.5)"
+_THREES = "list_distinct(list_transform(generate_series(1, length({0}) - 2), lambda i: substr(lower({0}), i, 3)))"
+
+
+@query(
+    f"""WITH a AS (SELECT n_name AS name FROM nation), b AS (SELECT CASE WHEN n_nationkey < 5 THEN n_name ELSE 'Our ' || lower(n_name) || ' region' END AS best FROM nation UNION ALL SELECT r_name FROM region),
+l AS (SELECT name, {_BYTES.format('name')} AS x, {_THREES.format('name')} AS g FROM a WHERE name NOT IN (SELECT best FROM b)), r AS (SELECT best, {_BYTES.format('best')} AS y, {_THREES.format('best')} AS h FROM b WHERE best NOT IN (SELECT name FROM a)),
+p AS (SELECT name, best, 0.7 * list_cosine_similarity(x, y) + 0.3 * len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) AS score FROM l, r)
+SELECT name, best FROM a JOIN b ON name = best UNION ALL SELECT name, arg_max(best, score) FROM p WHERE score > 0.5 GROUP BY 1"""
+)
 def concept_alignment(spark, d):
     """Names that both sides have align with themselves; others with the best above one half."""
-    return _aligned(load(spark, d, "nation").select(F.col("n_name").alias("name")), load(spark, d, "region").select(F.col("r_name").alias("best")))
+    named = F.when(F.col("n_nationkey") < 5, F.col("n_name")).otherwise(F.concat(F.lit("Our "), F.lower("n_name"), F.lit(" region")))
+    nation = load(spark, d, "nation")
+    return _aligned(nation.select(F.col("n_name").alias("name")), nation.select(named.alias("best")).unionByName(load(spark, d, "region").select(F.col("r_name").alias("best"))))
 
 
 def _aligned(a, b):
@@ -266,11 +291,15 @@ def attention_mha(spark, d):
     return py.multi_head(vectors(spark, d), "label").select("label", "vec_id", F.transform("attended", lambda x: F.round(x, 5)).alias("attended"))
 
 
-@query()
+_LETTERS = "list_transform(generate_series(97, 122), lambda i: (length({0}) - length(replace({0}, chr(i::INT), '')))::DOUBLE)"
+
+
+@query(f"SELECT doc_id AS vec_id, length(text)::BIGINT AS text_length, length(html)::BIGINT AS html_length, CASE WHEN list_sum(a) > 0 AND list_sum(b) > 0 THEN round(list_cosine_similarity(a, b), 6) ELSE 0 END AS coherence FROM (SELECT *, {_LETTERS.format('text')} AS a, {_LETTERS.format('html')} AS b FROM documents JOIN pages ON doc_id = page_id JOIN embeddings ON vec_id = doc_id)")
 def multimodal_fusion(spark, d):
-    """A text, its vector and a page as three modalities of one item: coherence of the vectors and features of the texts."""
+    """A text, its vector and a page as three modalities of one item; text and page are compared by how often they use each letter."""
     rows = vectors(spark, d).alias("v").join(load(spark, d, "documents").alias("t"), F.col("v.vec_id") == F.col("t.doc_id")).join(load(spark, d, "pages").alias("p"), F.col("v.vec_id") == F.col("p.page_id"))
-    return rows.select("v.vec_id", F.length("t.text").alias("text_length"), F.length("p.html").alias("html_length"), F.round(cosine(F.col("v.vector"), F.reverse("v.vector")), 6).alias("coherence"))
+    uses = lambda c: F.array(*[(F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))).cast("double") for x in map(chr, range(97, 123))])
+    return rows.select("v.vec_id", F.length("t.text").cast("bigint").alias("text_length"), F.length("p.html").cast("bigint").alias("html_length"), uses(F.col("t.text")).alias("a"), uses(F.col("p.html")).alias("b")).select("vec_id", "text_length", "html_length", F.coalesce(F.round(cosine(F.col("a"), F.col("b")), 6), F.lit(0.0)).alias("coherence"))
 
 
 @query()
@@ -304,14 +333,22 @@ def map_blocks(spark, d):
     return py.map_blocks(rows, "doc_id", "text", lambda t: len(t) if t else 1 / 0)
 
 
-@query("SELECT user_id, event_id, allowed FROM (SELECT user_id, event_id, true AS allowed FROM events)")
+def _bucket_sql(rate: float, burst: float) -> str:
+    """A token bucket as a recursion over each user's events in order."""
+    return f"""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+b AS (SELECT user_id, event_id, i, t, {burst}::DOUBLE >= 1 AS allowed, {burst}::DOUBLE - ({burst}::DOUBLE >= 1)::INT AS tokens FROM o WHERE i = 1
+UNION ALL SELECT o.user_id, o.event_id, o.i, o.t, least({burst}::DOUBLE, tokens + (o.t - b.t) * {rate!r}::DOUBLE) >= 1, least({burst}::DOUBLE, tokens + (o.t - b.t) * {rate!r}::DOUBLE) - (least({burst}::DOUBLE, tokens + (o.t - b.t) * {rate!r}::DOUBLE) >= 1)::INT FROM b JOIN o ON o.user_id = b.user_id AND o.i = b.i + 1)
+SELECT user_id, event_id, allowed FROM b"""
+
+
+@query(_bucket_sql(1 / 86400, 3.0))
 def token_bucket(spark, d):
-    """A bucket that never runs dry at this rate."""
+    """One request a day for each user, and up to three at once."""
     rows = load(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
-    return py.token_bucket(rows, "user_id", rate=1.0, burst=1000.0)
+    return py.token_bucket(rows, "user_id", rate=1 / 86400, burst=3.0)
 
 
-@query()
+@query(_bucket_sql(1 / 43200, 2.0))
 def token_bucket_tight(spark, d):
     rows = load(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
     return py.token_bucket(rows, "user_id", rate=1 / 43200, burst=2.0)
@@ -348,12 +385,12 @@ def stream_copy(spark, d):
     return views.to_files(_stream(spark, d, "pages").select("page_id", F.lit("BINARY").alias("block_type"), F.sha2(F.col("html").cast("binary"), 256).alias("hash")))
 
 
-@query("SELECT doc_id, doc_id % 13 <> 0 AS valid FROM documents WHERE doc_id % 3 <> 0")
+@query("SELECT doc_id, doc_id % 3 = 0 OR doc_id % 13 <> 0 AS valid FROM documents")
 def verified_stream(spark, d):
-    """Blocks of a stream against the manifest's hashes, by their ids; some hashes are wrong."""
+    """Blocks of a stream against the manifest's hashes, by their ids; some hashes are wrong, and what the manifest doesn't have is valid."""
     manifest = load(spark, d, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("k"), F.when(F.col("doc_id") % 13 == 0, "x").otherwise(content_hash(F.col("text"))).alias("expected"))
     rows = _stream(spark, d, "documents").select("doc_id", content_hash(F.col("text")).alias("hash"))
-    return views.to_files(rows.join(manifest, F.col("doc_id") == F.col("k")).select("doc_id", (F.col("hash") == F.col("expected")).alias("valid")))
+    return views.to_files(rows.join(manifest, F.col("doc_id") == F.col("k"), "left").select("doc_id", (F.col("expected").isNull() | (F.col("hash") == F.col("expected"))).alias("valid")))
 
 
 @query("SELECT event_id, CASE WHEN value > 90 THEN 'high' ELSE 'error' END AS rule FROM events WHERE value > 90 OR event_type = 'error'")
@@ -388,6 +425,20 @@ def metrics_tumbling(spark, d):
     return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "s.n", F.round("s.total", 4).alias("total"))
 
 
+@query(
+    """WITH m AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) + CASE event_id % 10 WHEN 3 THEN -400000000 WHEN 6 THEN 400000000 ELSE 0 END AS said, epoch_us(ts) AS got, user_id || ':' || CASE WHEN event_id % 4 = 0 THEN event_type ELSE event_id::VARCHAR END AS nonce FROM events),
+t AS (SELECT *, abs(got - said) <= 300000000 AS timely FROM m), f AS (SELECT *, row_number() OVER (PARTITION BY nonce, timely ORDER BY got, event_id) AS n FROM t)
+SELECT event_id, CASE WHEN said < got - 300000000 THEN 'late' WHEN said > got + 300000000 THEN 'early' WHEN n > 1 THEN 'replay' ELSE 'accepted' END AS verdict FROM f"""
+)
+def replay_guard(spark, d):
+    """Messages that say when they were sent: too old ones and ones from the future don't pass, nor does a nonce that has passed before."""
+    minute = F.expr("INTERVAL 400 SECONDS")
+    rows = _stream(spark, d, "events").withColumn("got", F.col("ts").cast("timestamp"))
+    said = F.when(F.col("event_id") % 10 == 3, F.col("got") - minute).when(F.col("event_id") % 10 == 6, F.col("got") + minute).otherwise(F.col("got"))
+    nonce = F.concat_ws(":", "user_id", F.when(F.col("event_id") % 4 == 0, F.col("event_type")).otherwise(F.col("event_id").cast("string")))
+    return views.to_files(views.guarded(rows.select("event_id", "got", said.alias("said"), nonce.alias("nonce")), 300.0))
+
+
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
 def dedup_within_watermark(spark, d):
     rows = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -395,11 +446,11 @@ def dedup_within_watermark(spark, d):
     return first.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, true AS allowed FROM events")
+@query(_bucket_sql(1 / 86400, 3.0))
 def streaming_rate_limit(spark, d):
-    """The token bucket as keyed state of a stream; it never runs dry at this rate."""
+    """The token bucket as keyed state of a stream."""
     rows = _stream(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return views.to_files(views.limited(rows, "user_id", rate=1.0, burst=10_000.0)).select("event_id", "allowed")
+    return views.to_files(views.limited(rows, "user_id", rate=1 / 86400, burst=3.0)).select("user_id", "event_id", "allowed")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -216,9 +216,9 @@ def checkpoint_latest(spark, d):
     return ev.last_write(rows, "thread_id", ["turn", "role", "text"], ["turn"])
 
 
-@query("SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size BETWEEN 10 AND 30 AND p_retailprice >= 1000 AND p_brand = 'Brand#12' AND p_retailprice < 1900")
+@query("SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size BETWEEN 10 AND 30 AND p_retailprice >= 920 AND p_brand = 'Brand#12' AND p_retailprice < 990")
 def metadata_filters(spark, d):
-    return load(spark, d, "part").where("p_size BETWEEN 10 AND 30 AND p_retailprice >= 1000 AND p_brand = 'Brand#12' AND p_retailprice < 1900").select("p_partkey", "p_size", "p_retailprice")
+    return load(spark, d, "part").where("p_size BETWEEN 10 AND 30 AND p_retailprice >= 920 AND p_brand = 'Brand#12' AND p_retailprice < 990").select("p_partkey", "p_size", "p_retailprice")
 
 
 @query("SELECT source AS artifact_id, count(*) AS n_blocks, count_if(lang = 'en')::BIGINT AS english, count_if(n_chars > 2000)::BIGINT AS large FROM documents GROUP BY 1")

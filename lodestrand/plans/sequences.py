@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrand.functions.hashing import GENESIS, content_hash, shard_of, short_id
 from lodestrand.operators import aggregates as agg
 from lodestrand.operators import events as ev
-from lodestrand.operators import integrity
+from lodestrand.operators import graph, integrity
 from lodestrand.operators import sequence as seq
 from lodestrand.registry import query
 from lodestrand.tables import SQL_V, blocks, load, micros, versions
@@ -54,7 +54,12 @@ def duplicate_blocks(spark, d):
     return blocks(spark, d).groupBy(content_hash(F.col("data")).alias("content_hash")).agg(F.count("*").alias("n"), F.min("seq").alias("first_doc"), F.max("seq").alias("last_doc")).where("n > 1")
 
 
-@query()
+@query(
+    """WITH RECURSIVE l AS (SELECT source AS a, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, sha256(text) AS h FROM documents),
+t AS (SELECT a, list(h ORDER BY i) AS hs, any_value(n) AS n FROM l GROUP BY a
+UNION ALL SELECT a, list_transform(generate_series(1, (len(hs) + 1) // 2), lambda k: sha256(unhex(hs[2 * k - 1] || coalesce(hs[2 * k], hs[2 * k - 1])))), n FROM t WHERE len(hs) > 1)
+SELECT a AS artifact_id, hs[1] AS root, n AS n_leaves FROM t WHERE len(hs) = 1"""
+)
 def merkle_root(spark, d):
     return integrity.merkle_roots(blocks(spark, d).select("artifact_id", "seq", content_hash(F.col("data")).alias("hash")))
 
@@ -96,10 +101,11 @@ def version_gaps(spark, d):
     return ev.chain_breaks(rows, "block_id", "previous_hash", "current_hash", "version").select("block_id", "version", "expected")
 
 
-@query("SELECT user_id, event_id, ts FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE ts < p")
+@query("WITH l AS (SELECT user_id, event_id, CASE WHEN event_id % 20 = 7 THEN ts - INTERVAL 30 DAY ELSE ts END AS ts FROM events) SELECT user_id, event_id, ts FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM l) WHERE ts < p")
 def timestamp_reversals(spark, d):
-    rows = load(spark, d, "events").withColumn("p", F.lag("ts").over(Window.partitionBy("user_id").orderBy("event_id")))
-    return rows.where("ts < p").select("user_id", "event_id", "ts")
+    """Entries of a log that are older than the one before; the clock of every twentieth entry is a month behind."""
+    rows = load(spark, d, "events").withColumn("ts", F.when(F.col("event_id") % 20 == 7, F.expr("ts - INTERVAL 30 DAY")).otherwise(F.col("ts")))
+    return rows.withColumn("p", F.lag("ts").over(Window.partitionBy("user_id").orderBy("event_id"))).where("ts < p").select("user_id", "event_id", "ts")
 
 
 @query("SELECT user_id, event_id, round(gap / 1e6, 3) AS seconds FROM (SELECT user_id, event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap, FROM events) WHERE gap < 600000000")
@@ -190,16 +196,17 @@ def access_frequency(spark, d):
 
 @query(f"WITH {SQL_V}, {_FREQ}, o AS (SELECT block_id, row_number() OVER (ORDER BY round(freq, 9) DESC, block_id) AS r, count(*) OVER () AS c FROM q) SELECT block_id, CASE WHEN r <= c * 20 // 100 THEN 'hot' WHEN r > c * 80 // 100 THEN 'cold' ELSE 'warm' END AS tier FROM o")
 def hot_cold_tiers(spark, d):
-    rows = _frequency(spark, d)  # one row a block that is in use: the ranking is over these
-    order = Window.orderBy(F.round("freq", 9).desc(), "block_id")
-    rows = rows.withColumns({"r": F.row_number().over(order), "c": F.count("*").over(Window.partitionBy())})
+    rows = _frequency(spark, d).withColumn("least", -F.round("freq", 9))
+    rows = seq.numbered(rows, ["least", "block_id"], "r").withColumn("r", F.col("r") + 1)
+    rows = rows.withColumn("c", F.lit(rows.count()))
     tier = F.when(F.col("r") <= F.floor(F.col("c") * 20 / 100), "hot").when(F.col("r") > F.floor(F.col("c") * 80 / 100), "cold").otherwise("warm")
     return rows.select("block_id", tier.alias("tier"))
 
 
 @query(f"WITH {SQL_V}, {_FREQ}, o AS (SELECT row_number() OVER (ORDER BY round(freq, 9) DESC, block_id) AS r, row_number() OVER (ORDER BY block_id) AS p, count(*) OVER () AS c FROM q) SELECT round((sum(abs(r - p)) / (max(c) * max(c) / 2.0))::DOUBLE, 6) AS fragmentation FROM o")
 def fragmentation(spark, d):
-    rows = _frequency(spark, d).withColumns({"r": F.row_number().over(Window.orderBy(F.round("freq", 9).desc(), "block_id")), "p": F.row_number().over(Window.orderBy("block_id")), "c": F.count("*").over(Window.partitionBy())})
+    rows = seq.numbered(seq.numbered(_frequency(spark, d).withColumn("least", -F.round("freq", 9)), ["least", "block_id"], "r"), ["block_id"], "p")
+    rows = rows.withColumn("c", F.lit(rows.count()))
     return rows.agg(F.round(F.sum(F.abs(F.col("r") - F.col("p"))) / (F.max("c") * F.max("c") / 2.0), 6).alias("fragmentation"))
 
 
@@ -280,11 +287,12 @@ def orset_difference(spark, d):
     return adds.subtract(dead)
 
 
-@query("SELECT event_id, event_type, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_event_id FROM events")
+@query("WITH o AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, first_value(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS first FROM events) SELECT event_id, first AS root, (i - 1)::BIGINT AS depth FROM o")
 def event_chain(spark, d):
-    """Each event's predecessor in its agent's log; the log is linear, so a chain back is what stands before."""
+    """Each event's chain of causes, walked back along the ids of previous events to where it began."""
     w = Window.partitionBy("user_id").orderBy("event_id")
-    return load(spark, d, "events").select("event_id", "event_type", F.lag("event_id").over(w).alias("previous_event_id"))
+    links = load(spark, d, "events").select(F.col("event_id").alias("node"), F.lag("event_id").over(w).alias("parent"))
+    return graph.walk(links).select(F.col("node").alias("event_id"), "root", "depth")
 
 
 @query("WITH u AS (SELECT doc_id, text, 0 AS src FROM documents UNION ALL SELECT doc_id, text, 1 FROM documents WHERE doc_id % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY src, doc_id) AS n FROM u) SELECT doc_id, src::BIGINT AS src, sha256(text) AS hash FROM r WHERE n = 1")

@@ -69,7 +69,7 @@ def limited(events: DataFrame, key: str, rate: float, burst: float) -> DataFrame
         for pdf in batches:
             pdf = pdf.sort_values(["ts", "event_id"])
             allowed = []
-            for t in pdf["ts"].astype("int64") / 1e9:
+            for t in pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6:
                 tokens = min(burst, tokens + (0.0 if last is None else max(0.0, t - last) * rate))
                 last = t
                 allowed.append(tokens >= 1)
@@ -78,3 +78,25 @@ def limited(events: DataFrame, key: str, rate: float, burst: float) -> DataFrame
         state.update((tokens, last))
 
     return events.groupBy(key).applyInPandasWithState(run, f"{key} bigint, event_id bigint, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def guarded(messages: DataFrame, window_s: float) -> DataFrame:
+    """(event_id, verdict) for messages (event_id, got, said, nonce): late or early if what they say is more than the
+    window off from when they came, replay if their nonce has passed before, else accepted.
+
+    A nonce's state is one flag; messages of a nonce are taken in order of arrival.
+    """
+
+    def run(who, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.exists
+        for pdf in batches:
+            pdf = pdf.sort_values(["got", "event_id"])
+            verdicts = []
+            for off in (pdf["said"] - pdf["got"]).dt.total_seconds():
+                verdicts.append("late" if off < -window_s else "early" if off > window_s else "replay" if passed else "accepted")
+                passed = passed or verdicts[-1] == "accepted"
+            yield pd.DataFrame({"event_id": pdf["event_id"], "verdict": verdicts})
+        if passed and not state.exists:
+            state.update((True,))
+
+    return messages.groupBy("nonce").applyInPandasWithState(run, "event_id bigint, verdict string", "passed boolean", "append", GroupStateTimeout.NoTimeout)

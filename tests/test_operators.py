@@ -200,7 +200,7 @@ def test_graphs(spark):
     edges = spark.createDataFrame([("John", "ACME"), ("Jane", "ACME"), ("ACME", "New York"), ("x", "y")], "u string, v string")
     assert {r["node"]: r["hops"] for r in graph.neighbourhood(edges, ["John"], 2).collect()} == {"John": 0, "ACME": 1, "Jane": 2, "New York": 2}
     loops = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "u int, v int")
-    assert sorted(r["u"] for r in graph.closure(loops).where("u = v").collect()) == [1, 2, 3]
+    assert sorted(r["u"] for r in graph.on_cycles(loops).withColumnRenamed("node", "u").collect()) == [1, 2, 3]
     dag = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (5, 4)], "u int, v int")
     nodes = spark.createDataFrame([(k,) for k in range(1, 7)], "node int")
     assert {r["node"]: r["level"] for r in graph.levels(nodes, dag).collect()} == {1: 0, 2: 1, 3: 1, 4: 2, 5: 0, 6: 0}
@@ -343,3 +343,58 @@ def test_artifact_and_files(spark, tmp_path):
         db.execute("CREATE TABLE checkpoints (thread_id TEXT, n INTEGER)")
         db.executemany("INSERT INTO checkpoints VALUES (?, ?)", [("a", 1), ("b", 2)])
     assert files.sqlite_table(spark, str(tmp_path / "t.db"), "checkpoints", "thread_id string, n bigint").count() == 2
+
+
+def test_cycles_in_larger_graphs(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (102, 200), (200, 201), (201, 200), (201, 300), (300, 301), (400, 400), (500, 501), (501, 400)]
+    found = graph.on_cycles(spark.createDataFrame(edges, "u int, v int")).collect()
+    assert sorted(r["node"] for r in found) == [100, 101, 102, 200, 201, 400]
+    assert graph.on_cycles(spark.createDataFrame([], "u int, v int")).count() == 0
+
+
+def test_walks_end_at_roots_and_skip_cycles(spark):
+    rows = [(0, None), *[(i, i - 1) for i in range(1, 30)], (50, 99), (51, 50), (60, 61), (61, 62), (62, 60), (63, 60)]
+    got = {r["node"]: (r["root"], r["depth"]) for r in graph.walk(spark.createDataFrame(rows, "node int, parent int")).collect()}
+    assert all(got[i] == (0, i) for i in range(30)) and got[50] == (50, 0) and got[51] == (50, 1)
+    assert all(got[i] == (None, None) for i in (60, 61, 62, 63))
+
+
+def test_numbers_without_one_task(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("x"))
+    assert all(r["x"] == r["number"] for r in sequence.numbered(rows, ["x"]).collect())
+    assert sequence.numbered(rows.limit(0), ["x"]).count() == 0
+
+
+def test_a_store_refuses_rivals(spark, tmp_path):
+    from lodestrand.sources.versions import Conflict, Store
+
+    store = Store(spark, str(tmp_path / "t"), "k int, v string", "k")
+    assert store.latest() == 0 and store.read().count() == 0
+    a, b = store.begin(), store.begin()
+    a.write(spark.createDataFrame([(1, "a"), (2, "a")], store.schema))
+    assert a.read().count() == 2 and store.read().count() == 0
+    assert a.commit() == 1
+    b.write(spark.createDataFrame([(1, "b")], store.schema))
+    with pytest.raises(Conflict):
+        b.commit()
+    c = store.begin()
+    c.delete(spark.createDataFrame([(2,)], "k int"))
+    c.write(spark.createDataFrame([(2, "again"), (3, "c")], store.schema))
+    assert {r["k"]: r["v"] for r in c.read().collect()} == {1: "a", 2: "again", 3: "c"} and c.commit() == 2
+    assert {r["k"]: r["v"] for r in store.read().collect()} == {1: "a", 2: "again", 3: "c"} and store.read(1).count() == 2
+
+
+def test_personal_data_in_any_script(spark):
+    rows = spark.createDataFrame([("José Smith wrote to Anna Schmidt, ÉAnna Schmidtö.",), ("Tel. 555-123-4567 é555-123-4567 über@uni.de",)], "t string")
+    masked = [r[0] for r in rows.select(text.mask(F.col("t"))).collect()]
+    assert masked == ["José Smith wrote to ANON_NAME, ÉAnna Schmidtö.", "Tel. ANON_PHONE é555-123-4567 ANON_EMAIL"]
+
+
+def test_only_a_local_master_gets_a_temporary_folder():
+    from types import SimpleNamespace
+
+    from lodestrand.functions.storage import shared_folder
+
+    far = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://a:7077", getCheckpointDir=lambda: None, getConf=lambda: {}))
+    with pytest.raises(RuntimeError):
+        shared_folder(far)
