@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import cut, every, fresh, named, small_side
+from lodestrand.llm.common import cut, every, fresh, named
 
 #: A schedule is a list of (time, weight) knots from time 0 to 1, joined by straight lines.
 Schedule = list[tuple[float, float]]
@@ -82,11 +82,11 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     rows = cut(rows) if drop_text else rows
     rows = rows.withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
     sums = cut(rows.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size")))
-    buckets = sums.count()
     sizes = sums.groupBy("key").agg(F.sum("bucket_size").alias("source_size"))
     whole = targets(sizes.withColumn("source", F.when(F.col("key") != "", F.substr("key", F.lit(2)))), weights, most).drop("source")
     sums = sums.withColumn("before", F.sum("bucket_size").over(Window.partitionBy("key").orderBy("bucket")) - F.col("bucket_size"))
-    rows = rows.join(small_side(sums.join(whole, "key").drop("bucket_size"), buckets), ["key", "bucket"])
+    # Joined by the keys that the window goes by, so that documents are dealt out once; the sums grow with the sources.
+    rows = rows.join(sums.join(whole, "key").drop("bucket_size"), ["key", "bucket"])
     place = Window.partitionBy("key", "bucket").orderBy("order")
     rows = rows.withColumn("start", F.col("before") + F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     full = F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))
