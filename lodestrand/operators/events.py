@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.operators import sequence
+
 
 def event_filter(df: DataFrame, start=None, end=None, types: list[str] | None = None, agent: tuple[str, object] | None = None, limit: int | None = None, order: list | None = None) -> DataFrame:
     """Events between two times, both included, of given types and agent; the first ``limit`` in order."""
@@ -46,7 +48,6 @@ def last_write(df: DataFrame, key: str, values: list[str], order: list[str]) ->
 
 
 def chain_breaks(df: DataFrame, key: str, previous: str, current: str, order: str) -> DataFrame:
-    """Rows whose link isn't the hash of the row before; a chain's first row links to anything."""
-    w = Window.partitionBy(key).orderBy(order)
-    rows = df.withColumn("__expected", F.lag(current).over(w))
+    """Rows whose link isn't the hash of the row before; a chain's first row links to anything. Chains of any length are followed in ranges."""
+    rows = sequence.previous(df, [key], [order], current, "__expected")
     return rows.where(F.col("__expected").isNotNull() & ~F.col(previous).eqNullSafe(F.col("__expected"))).withColumnRenamed("__expected", "expected")

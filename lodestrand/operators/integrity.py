@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions.hashing import GENESIS, content_hash
 from lodestrand.functions.storage import cut
+from lodestrand.operators.sequence import numbered_within, previous
 
 
 def hash_chain(blocks: DataFrame) -> DataFrame:
-    """blocks with content_hash and previous_hash: that of the block before in its artifact, 32 zero bytes for the first."""
-    w = Window.partitionBy("artifact_id").orderBy("seq")
-    rows = blocks.withColumn("content_hash", content_hash(F.col("data")))
-    return rows.withColumn("previous_hash", F.coalesce(F.lag("content_hash").over(w), F.lit(GENESIS)))
+    """(artifact_id, seq, content_hash, previous_hash): the hash of the block before in its artifact, 32 zero bytes for the first.
+
+    Data is hashed where it is read; an artifact of any size is linked in ranges.
+    """
+    rows = blocks.select("artifact_id", "seq", content_hash(F.col("data")).alias("content_hash"))
+    return previous(rows, ["artifact_id"], ["seq"], "content_hash", "previous_hash").fillna({"previous_hash": GENESIS})
 
 
 def against_manifest(rows: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
@@ -32,19 +35,18 @@ def merkle_roots(leaves: DataFrame) -> DataFrame:
     Level by level, pairs of neighbours become one digest, a last one alone is paired with itself; one
     leaf is its own root. Each level halves the rows, so there are log2 n shuffles of ever fewer rows.
     """
-    number = F.row_number().over(Window.partitionBy("artifact_id").orderBy("seq")) - 1
-    level = leaves.select("artifact_id", number.alias("i"), F.unhex("hash").alias("h"))
-    sizes = leaves.groupBy("artifact_id").agg(F.count("*").alias("n_leaves"))
+    numbers = cut(numbered_within(leaves.select("artifact_id", "seq", "hash"), ["artifact_id"], ["seq"], "i"))
+    sizes = numbers.groupBy(F.col("artifact_id").alias("k")).agg(F.count("*").alias("n_leaves"))
+    # Every node carries how many its level has, so that no window over an artifact has to count them.
+    level = numbers.join(sizes, F.col("artifact_id").eqNullSafe(F.col("k"))).select("artifact_id", "i", F.unhex("hash").alias("h"), "n_leaves", F.col("n_leaves").alias("left"))
     most, rounds = sizes.agg(F.max("n_leaves")).first()[0] or 0, 0
     while most > 1:
-        pairs = level.groupBy("artifact_id", F.floor(F.col("i") / 2).alias("i")).agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b"), F.count("*").alias("n"), F.min("i").alias("first"))
-        alone = Window.partitionBy("artifact_id")
-        pairs = pairs.withColumn("only", (F.count("*").over(alone) == 1) & (F.col("n") == 1))
-        level = pairs.select("artifact_id", "i", F.when(F.col("only"), F.col("a")).otherwise(F.unhex(F.sha2(F.concat("a", "b"), 256))).alias("h"))
+        pairs = level.groupBy("artifact_id", F.floor(F.col("i") / 2).alias("i"), "n_leaves", "left").agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b"))
+        level = pairs.select("artifact_id", "i", F.when(F.col("left") == 1, F.col("a")).otherwise(F.unhex(F.sha2(F.concat("a", "b"), 256))).alias("h"), "n_leaves", F.ceil(F.col("left") / 2).alias("left"))
         most, rounds = -(-most // 2), rounds + 1
         if rounds % 6 == 0:
             level = cut(level)
-    return level.select("artifact_id", F.lower(F.hex("h")).alias("root")).join(sizes, "artifact_id")
+    return level.select("artifact_id", F.lower(F.hex("h")).alias("root"), "n_leaves")
 
 
 def findings(blocks: DataFrame, most: int = 10_000) -> DataFrame:

@@ -6,6 +6,9 @@ of what the frame reaches back or ahead for, so that no window runs in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +120,38 @@ def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFra
         return rows.withColumn(name, F.lit(None).cast("bigint"))
     place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
     return ranged.withColumn(name, (place + F.create_map(*offset)[F.col("__range")]).cast("bigint")).drop("__range")
+
+
+def _in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows in ranges of the order, materialised, with the range's number: a group of any size is spread over ranges."""
+    return cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+
+
+def _with_ends(rows: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
+    """rows with what ends says of their range and group; ends has a row for each, so it is as small as ranges and groups are few."""
+    named = ends.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(["__range", *by])], "__carry")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(["__range", *by])])
+    return rows.join(named, same, "left").drop(*[f"__{i}" for i in range(len(by) + 1)])
+
+
+def previous(rows: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """rows with the value of the row before in their group, null for a group's first.
+
+    Windows run within ranges; a range's last value of a group is carried to the next range that has the group.
+    """
+    parts = _in_ranges(rows, [*by, *order])
+    ends = parts.groupBy("__range", *by).agg(F.max_by(value, F.struct(*order)).alias("__end"))
+    ends = ends.withColumn("__carry", F.lag("__end").over(Window.partitionBy(*by).orderBy("__range")))
+    w = Window.partitionBy("__range", *by).orderBy(*order)
+    inside = parts.withColumns({"__first": F.row_number().over(w) == 1, name: F.lag(value).over(w)})
+    return _with_ends(inside, ends, by).withColumn(name, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col(name))).drop("__range", "__first", "__carry")
+
+
+def numbered_within(rows: DataFrame, by: list[str], order: list[str], name: str = "number") -> DataFrame:
+    """rows with their place (from 0) in their group, counted within ranges and carried on from one range to the next."""
+    parts = _in_ranges(rows, [*by, *order])
+    counts = parts.groupBy("__range", *by).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    place = F.row_number().over(Window.partitionBy("__range", *by).orderBy(*order)) - 1
+    inside = _with_ends(parts.withColumn(name, place), counts.withColumn("__carry", F.coalesce(before, F.lit(0))), by)
+    return inside.withColumn(name, (F.col(name) + F.col("__carry")).cast("bigint")).drop("__range", "__carry")

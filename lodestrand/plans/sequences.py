@@ -315,8 +315,8 @@ def merge_append(spark, d):
 
 @query("SELECT source AS artifact_id, doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10)::BIGINT AS part FROM documents")
 def split_by_count(spark, d):
-    number = F.row_number().over(Window.partitionBy("artifact_id").orderBy("seq")) - 1
-    return blocks(spark, d).select("artifact_id", F.col("seq").alias("doc_id"), F.floor(number / 10).alias("part"))
+    numbers = seq.numbered_within(blocks(spark, d).select("artifact_id", "seq"), ["artifact_id"], ["seq"])
+    return numbers.select("artifact_id", F.col("seq").alias("doc_id"), F.floor(F.col("number") / 10).alias("part"))
 
 
 @query(
@@ -343,7 +343,8 @@ def missing_types(spark, d):
 @query("SELECT doc_id, CASE WHEN n_chars > 3000 THEN 0 WHEN n_chars > 1000 THEN 1 ELSE 2 END::BIGINT AS tier, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN n_chars > 3000 THEN 0 WHEN n_chars > 1000 THEN 1 ELSE 2 END, doc_id) AS place FROM documents")
 def layout_order(spark, d):
     tier = F.when(F.col("n_chars") > 3000, 0).when(F.col("n_chars") > 1000, 1).otherwise(2).cast("bigint")
-    return blocks(spark, d).withColumn("tier", tier).select(F.col("seq").alias("doc_id"), "tier", F.row_number().over(Window.partitionBy("artifact_id").orderBy("tier", "seq")).cast("bigint").alias("place"))
+    rows = blocks(spark, d).select("artifact_id", "seq", tier.alias("tier"))
+    return seq.numbered_within(rows, ["artifact_id"], ["tier", "seq"]).select(F.col("seq").alias("doc_id"), "tier", (F.col("number") + 1).alias("place"))
 
 
 @query("SELECT event_id, md5(user_id::VARCHAR) AS digest, ('0x' || right(md5(user_id::VARCHAR), 1))::BIGINT AS shard, ('0x' || right(md5(user_id::VARCHAR), 1))::BIGINT % 3 AS node, (('0x' || right(md5(user_id::VARCHAR), 1))::BIGINT + 1) % 3 AS replica FROM events")
