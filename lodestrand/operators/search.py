@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.functions.storage import cut
 from lodestrand.functions.vectors import cosine, dot, norm, unit
 
 
@@ -76,13 +77,32 @@ def tf_idf(tf: DataFrame, n_docs: int, sublinear: bool = True) -> DataFrame:
 
     One shuffle by term for document frequencies, one by document for lengths.
     """
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
-    raw = tf.join(df, "term").withColumn("w", (1.0 + F.log("tf") if sublinear else F.col("tf")) * idf)
+    raw = _weighed(tf, n_docs, sublinear)
     lengths = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     return raw.join(lengths, "doc_id").select("doc_id", "term", (F.col("w") / F.col("length")).alias("weight"))
 
 
+def _weighed(tf: DataFrame, n_docs: int, sublinear: bool = True) -> DataFrame:
+    """(doc_id, term, w): term frequencies times smoothed idf, of no particular length."""
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
+    return tf.join(df, "term").select("doc_id", "term", ((1.0 + F.log("tf") if sublinear else F.col("tf")) * idf).alias("w"))
+
+
+def tf_idf_nearest(tf: DataFrame, n_docs: int, asked: int) -> DataFrame:
+    """(doc_id, score): the cosine of TF-IDF weights with one document's, of every other document that shares a term with it.
+
+    Length and product come from one aggregate, so the weights themselves are never written or shuffled twice.
+    """
+    own = tf.where(F.col("doc_id") == asked).select("term").distinct()
+    query = _weighed(tf.join(own, "term", "left_semi"), n_docs).where(F.col("doc_id") == asked).select("term", F.col("w").alias("q"))
+    query = cut(query)  # one document's terms
+    w, q = F.col("w"), F.col("q")
+    sums = _weighed(tf, n_docs).where(F.col("doc_id") != asked).join(query, "term", "left").groupBy("doc_id").agg(F.sum(w * w).alias("square"), F.sum(w * q).alias("product"))
+    length = query.agg(F.sqrt(F.sum(q * q))).first()[0]
+    return sums.where("product IS NOT NULL").select("doc_id", (F.col("product") / F.sqrt("square") / F.lit(length).cast("double")).alias("score"))
+
+
 def attention(rows: DataFrame, by: str, id_col: str = "vec_id") -> DataFrame:
     """(by, a, b, weight) within groups: softmax over b of scaled dot product times coherence, identity projections.
 

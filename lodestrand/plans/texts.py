@@ -9,6 +9,7 @@ from lodestrand.functions import text as tx
 from lodestrand.functions.storage import cut
 from lodestrand.functions.vectors import cosine, l2
 from lodestrand.operators import blocked, graph, search
+from lodestrand.operators.sequence import numbered_within, previous
 from lodestrand.registry import query
 from lodestrand.tables import SQL_E, load, vectors
 
@@ -89,8 +90,8 @@ def pii_pseudonyms(spark, d):
     """Names numbered by first occurrence in their context: the same value has the same pseudonym throughout."""
     found = _docs(spark, d).select(F.col("source").alias("context"), "doc_id", F.explode(F.regexp_extract_all("text", F.lit(tx.on_any_text(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b")), F.lit(0))).alias("value"))
     first = found.groupBy("context", "value").agg(F.min("doc_id").alias("first_doc"))
-    number = F.row_number().over(Window.partitionBy("context").orderBy("first_doc", "value")) - 1
-    return first.select("context", "value", F.concat(F.lit("ANON_NAME_"), F.lpad(number.cast("string"), 4, "0")).alias("pseudonym"))
+    numbers = numbered_within(first, ["context"], ["first_doc", "value"])
+    return numbers.select("context", "value", F.concat(F.lit("ANON_NAME_"), F.lpad(F.col("number").cast("string"), 4, "0")).alias("pseudonym"))
 
 
 @query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(" + _FOLD + ", ' ')) AS w FROM documents) WHERE " + " OR ".join(f"regexp_matches(w, '{p}')" for p in tx.SENSITIVE) + " OR w IN ('John', 'Jane', 'Smith', 'Doe') GROUP BY 1")
@@ -108,9 +109,13 @@ def text_normalise(spark, d):
 
 
 def _with_previous(spark, d):
-    """Documents with the one before in their source: pairs to compare, as many as there are documents."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return load(spark, d, "documents").select("doc_id", F.lag("doc_id").over(w).alias("other_id"), "text", F.lag("text").over(w).alias("other")).where("other_id IS NOT NULL")
+    """Documents with the one before in their source: pairs to compare, as many as there are documents.
+
+    Ids find each other first, in ranges, so that no task sorts a source's texts.
+    """
+    docs = load(spark, d, "documents")
+    pairs = previous(docs.select("source", "doc_id"), ["source"], ["doc_id"], "doc_id", "other_id").where("other_id IS NOT NULL").select("doc_id", "other_id")
+    return pairs.join(docs.select("doc_id", "text"), "doc_id").join(docs.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other")), "other_id")
 
 
 _PREVIOUS = "p AS (SELECT doc_id, lag(doc_id) OVER w AS other_id, text, lag(text) OVER w AS other FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))"
@@ -317,10 +322,10 @@ def tfidf_weights(spark, d):
 
 @query(f"WITH {_TFIDF} SELECT o.doc_id, round(sum(o.weight * q.weight), 5) AS score FROM wt o JOIN wt q USING (term) WHERE q.doc_id = 0 AND o.doc_id <> 0 GROUP BY 1 ORDER BY score DESC, o.doc_id LIMIT 10")
 def tfidf_search(spark, d):
-    """The documents nearest to document 0: an inverted index, joined on its terms."""
-    weights = cut(_weights(spark, d))
-    asked = weights.where("doc_id = 0").select("term", F.col("weight").alias("q"))
-    return weights.where("doc_id <> 0").join(asked, "term").groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 5).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+    """The documents nearest to document 0, each term looked up among its own."""
+    docs = _docs(spark, d)
+    found = search.tf_idf_nearest(cut(search.terms(docs, F.col("text"))), docs.count(), 0)
+    return found.select("doc_id", F.round("score", 5).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
 # Graphs
