@@ -110,6 +110,17 @@ def artifact_facade(spark, d):
     return again.blocks.groupBy("block_type").agg(F.count("*").alias("n")).withColumn("broken", F.lit(again.verify().count()).cast("bigint"))
 
 
+@query("WITH h AS (SELECT source, doc_id, sha256(text) AS h, lag(sha256(text)) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents), k AS (SELECT *, lag(h) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM h WHERE doc_id % 90 <> 7) SELECT source AS artifact_id, doc_id AS seq, 'data' AS problem FROM h WHERE doc_id % 40 = 3 AND doc_id % 90 <> 7 UNION ALL SELECT source, doc_id, 'link' FROM k WHERE p IS DISTINCT FROM b")
+def artifact_verify(spark, d):
+    """All documents as artifacts, saved with their chains; then some blocks are changed and some are lost."""
+    rows = blocks(spark, d).select("artifact_id", "seq", "block_type", "data")
+    empty = Artifact.create(spark, "").blocks
+    path = _folder(spark, "verify")
+    Artifact(empty.unionByName(rows, allowMissingColumns=True), "").save(path)
+    spoilt = F.when(F.col("seq") % 40 == 3, F.concat("data", F.lit("."))).otherwise(F.col("data"))
+    return Artifact(Artifact.load(spark, path).blocks.where("seq % 90 <> 7").withColumn("data", spoilt), "").verify()
+
+
 @query("SELECT CASE WHEN page_id % 3 = 0 THEN 'mp4' WHEN page_id % 3 = 1 THEN 'avi' ELSE 'unknown' END AS format, CASE WHEN length(html) < 2000 THEN 'small' ELSE 'large' END AS size_class, count(*) AS n FROM pages GROUP BY ALL")
 def media_magic(spark, d):
     """Format by the first bytes. The pages' bytes follow made-up headers, as there are no videos among the tables."""
