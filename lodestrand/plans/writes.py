@@ -109,11 +109,11 @@ def delta_length_encode(spark, d):
     return made.select("conv_id", "turn", F.coalesce("delta", "n").alias("delta"))
 
 
-@query("SELECT lang, count(*) AS n, min(doc_id) AS first_doc, count(DISTINCT source) AS sources FROM documents WHERE lang IS NOT NULL GROUP BY 1")
+@query("SELECT lang, count(*) AS n, min(doc_id) AS first_doc, count(DISTINCT source) AS sources FROM documents GROUP BY 1")
 def split_by_type(spark, d):
     """Blocks written to a folder for each type, and read again with the type from the folder's name."""
     folder = _folder(spark, "split")
-    load(spark, d, "documents").where("lang IS NOT NULL").select("doc_id", "source", "lang").write.partitionBy("lang").parquet(folder)
+    load(spark, d, "documents").select("doc_id", "source", "lang").write.partitionBy("lang").parquet(folder)
     rows = spark.read.schema("doc_id bigint, source string, lang string").parquet(folder)
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.count_distinct("source").alias("sources"))
 

@@ -6,7 +6,7 @@ import random
 
 import pytest
 from lodestrand import catalogue
-from lodestrand.artifact import Artifact
+from lodestrand.artifact import Artifact, quick_create, quick_read, quick_verify
 from lodestrand.functions import hashing, rules, text, times, vectors
 from lodestrand.operators import access, aggregates, blocked, events, graph, integrity, pythonic, schemas, search, sequence
 from lodestrand.plans import pythonic as plans
@@ -331,7 +331,13 @@ def test_artifact_and_files(spark, tmp_path):
     made = Artifact.create(spark, "a").add_text("one").add_embeddings([[1, 2]])
     assert made.size == 2 and [r["data"] for r in made.texts().collect()] == ["one"] and made.verify().count() == 0
     made.save(str(tmp_path / "x"))
-    assert Artifact.load(spark, str(tmp_path / "x")).size == 2
+    again = Artifact.load(spark, str(tmp_path / "x"))
+    assert again.size == 2 and again.verify().isEmpty() and again.add_text("three").verify().isEmpty()
+    spoilt = Artifact(again.blocks.withColumn("data", F.when(F.col("seq") == 0, "other").otherwise(F.col("data"))), "a", 2)
+    assert [(r["seq"], r["problem"]) for r in spoilt.verify().collect()] == [(0, "data")]
+    lost = quick_create(spark, str(tmp_path / "y"), "b", "one", "two", "three")
+    assert quick_verify(spark, str(tmp_path / "y")) and [r["data"] for r in quick_read(spark, str(tmp_path / "y")).orderBy("seq").collect()] == ["one", "two", "three"]
+    assert [(r["seq"], r["problem"]) for r in Artifact(lost.blocks.where("seq <> 1"), "b", 3).verify().collect()] == [(2, "link")]
     (tmp_path / "in").mkdir()
     for name in ("a.txt", "b.MP4", "c.bin", "d.png"):
         (tmp_path / "in" / name).write_bytes(b"data")
@@ -365,6 +371,19 @@ def test_numbers_without_one_task(spark):
     assert sequence.numbered(rows.limit(0), ["x"]).count() == 0
 
 
+def test_groups_are_numbered_and_linked_across_ranges(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("g"), (F.col("id") * 7919 % 4000).alias("x"))
+    rows = rows.withColumn("v", F.when(F.col("x") % 5 > 0, F.col("x")))
+    groups, got = {}, {}
+    for g, x, v in sorted(rows.collect(), key=lambda r: r[1]):
+        groups.setdefault(g, []).append((x, v))
+    want = {(g, x): (k, at[k - 1][1] if k else None) for g, at in groups.items() for k, (x, _) in enumerate(at)}
+    linked = sequence.previous(sequence.numbered_within(rows, ["g"], ["x"], "n"), ["g"], ["x"], "v", "before")
+    got = {(r["g"], r["x"]): (r["n"], r["before"]) for r in linked.collect()}
+    assert got == want and linked.columns == ["g", "x", "v", "n", "before"]
+    assert sequence.numbered_within(rows.limit(0), ["g"], ["x"]).count() == sequence.previous(rows.limit(0), ["g"], ["x"], "v", "b").count() == 0
+
+
 def test_a_store_refuses_rivals(spark, tmp_path):
     from lodestrand.sources.versions import Conflict, Store
 
@@ -398,3 +417,21 @@ def test_only_a_local_master_gets_a_temporary_folder():
     far = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://a:7077", getCheckpointDir=lambda: None, getConf=lambda: {}))
     with pytest.raises(RuntimeError):
         shared_folder(far)
+
+
+def test_limited_and_metered_functions():
+    from lodestrand.operators import control
+
+    now = [0.0]
+    f = control.limited(0.5, 2, lambda: now[0])(lambda: 1)
+    assert f() + f() == 2
+    with pytest.raises(control.TooMany):
+        f()
+    now[0] = 2.0
+    assert f() == 1
+    ledger = control.Ledger({("s", "o"): 2.0})
+    assert ledger.metered("s", "o", len)(lambda x: x[0])("abc") == "a" and ledger.entries == [("s", "o", 3.0, 6.0)]
+    hooks = control.Hooks()
+    hooks.register("a", lambda x: x + 1)
+    hooks.register("a", lambda x: x * 2)
+    assert hooks.call("a", 3) == [4, 6] and hooks.call("b", 3) == []
