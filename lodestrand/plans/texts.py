@@ -301,8 +301,7 @@ def coherence_attention(spark, d):
 
 @query(f"WITH {_ATTEND} SELECT a, i - 1 AS i, coalesce(nullif(round(sum(weight * v), 5), 0), 0)::DOUBLE AS x FROM (SELECT a, weight, unnest(vector) AS v, unnest(generate_series(1, 64)) AS i FROM w JOIN e ON w.b = e.vec_id) GROUP BY 1, 2")
 def attended_vector(spark, d):
-    rows = _trusted(spark, d)
-    return search.attended(search.attention(rows, "label"), rows, "label").select("a", "i", F.coalesce(F.nullif(F.round("x", 5), F.lit(0.0)), F.lit(0.0)).alias("x"))
+    return blocked.attended(_trusted(spark, d), "label").select("a", "i", F.coalesce(F.nullif(F.round("x", 5), F.lit(0.0)), F.lit(0.0)).alias("x"))
 
 
 # TF-IDF over all documents
