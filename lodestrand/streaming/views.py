@@ -28,26 +28,34 @@ def to_files(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def to_view(stream: DataFrame, key: list[str], order: str) -> DataFrame:
+def to_view(stream: DataFrame, key: list[str], order: str, compact: int = 16) -> DataFrame:
     """An incremental view: each micro-batch's last row of each key replaces the one before.
 
-    Every batch writes a new version of the view, whole; the last version is the result. A batch that is run again writes the same version.
+    A batch writes its own last rows only, and readers take the last of each key among what was written; every
+    ``compact``-th batch folds in those before it, so there are never more to read. A batch that is run again writes the same.
     """
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/view-{uuid.uuid4().hex}"
     schema = stream.schema
-    done: list[int] = []
+    rest = [c for c in schema.names if c not in key]
+    whole: dict[int, bool] = {}
+
+    def last(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("__v")).select(*key, "__v.*").select(*schema.names)
+
+    def written(before: list[int]) -> DataFrame:
+        since = max((n for n in before if whole[n]), default=-1)
+        paths = [f"{folder}/v{n}" for n in before if n >= since]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
     def upsert(batch: DataFrame, number: int) -> None:
-        before = [n for n in done if n < number]
-        known = spark.read.schema(schema).parquet(f"{folder}/v{before[-1]}") if before else spark.createDataFrame([], schema)
-        rest = [c for c in schema.names if c not in key]
-        last = known.unionByName(batch).groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("__v")).select(*key, "__v.*").select(*schema.names)
-        last.write.mode("overwrite").parquet(f"{folder}/v{number}")
-        done.append(number)
+        before = sorted(n for n in whole if n < number)
+        folds = number % compact == compact - 1
+        last(written(before).unionByName(batch) if folds else batch).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        whole[number] = folds
 
     stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/v{done[-1]}") if done else spark.createDataFrame([], schema)
+    return last(written(sorted(whole)))
 
 
 def tumbling(events: DataFrame, width: str, late: str, by: list[str]) -> DataFrame:

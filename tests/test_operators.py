@@ -435,3 +435,22 @@ def test_limited_and_metered_functions():
     hooks.register("a", lambda x: x + 1)
     hooks.register("a", lambda x: x * 2)
     assert hooks.call("a", 3) == [4, 6] and hooks.call("b", 3) == []
+
+
+def test_attended_in_blocks_is_attended_at_once(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), "label").where("vec_id < 120").withColumn("trust", 1.0 - (F.col("vec_id") % 5) / 10.0)
+    want = {(r["a"], r["i"]): r["x"] for r in search.attended(search.attention(rows, "label"), rows, "label").collect()}
+    got = {(r["a"], r["i"]): r["x"] for r in blocked.attended(rows, "label", block_rows=25).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert blocked.attended(rows.limit(0), "label").count() == 0
+
+
+def test_a_view_is_the_last_of_each_key(spark, tmp_path):
+    from lodestrand.streaming import views
+
+    rows = [(n % 7, n, f"v{n}") for n in range(60)]
+    for n in range(12):
+        spark.createDataFrame(rows[5 * n : 5 * n + 5], "k int, at int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    for compact in (1, 3, 100):
+        got = views.to_view(views.source(spark, str(tmp_path / "s")), ["k"], "at", compact)
+        assert sorted(map(tuple, got.collect())) == rows[-7:][-(60 % 7) :] + rows[-7 : -(60 % 7)]
