@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sqlite3
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestrand.functions.storage import shared_folder
 from lodestrand.operators import sequence as seq
 from lodestrand.registry import query
+from lodestrand.sources import files
 from lodestrand.sources.versions import Conflict, Store, log_append, log_recover
 from lodestrand.streaming import views
 from lodestrand.tables import load
@@ -143,3 +146,14 @@ def late_rows(spark, d):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     kept = views.to_files(views.without_replays(stream, ["event_id"], "1 day"))
     return kept.where("event_id >= 0").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def sqlite_import(spark, d):
+    """A table of a SQLite file, which is made of the customers first, a partition at a time."""
+    with tempfile.TemporaryDirectory() as folder:
+        file = f"{folder}/t.db"
+        with sqlite3.connect(file) as db:
+            db.execute("CREATE TABLE customer (c_custkey INTEGER, c_name TEXT, c_acctbal REAL)")
+            db.executemany("INSERT INTO customer VALUES (?, ?, ?)", map(tuple, load(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal").toLocalIterator()))
+        return files.sqlite_table(spark, file, "customer", "c_custkey bigint, c_name string, c_acctbal double")

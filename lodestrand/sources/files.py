@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import sqlite3
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrand.functions.storage import shared_folder
+
 # Which extensions hold what.
 KINDS = {"TEXT": ("txt", "md", "csv", "json", "xml", "html"), "IMAGE": ("png", "jpg", "jpeg", "gif", "bmp"), "AUDIO": ("mp3", "wav", "flac"), "VIDEO": ("mp4", "avi", "mov", "mkv")}
 
@@ -49,9 +52,14 @@ def export(df: DataFrame, path: str, kind: str) -> None:
         getattr(writer, kind)(path)
 
 
-def sqlite_table(spark: SparkSession, file: str, table: str, schema: str) -> DataFrame:
-    """A table of a SQLite file on the driver, in batches; the file is the size that one machine holds."""
-    names = [c.split()[0] for c in schema.split(",")]
+def sqlite_table(spark: SparkSession, file: str, table: str, schema: str, batch_rows: int = 50_000) -> DataFrame:
+    """A table of a SQLite file on the driver, copied to the shared folder a batch at a time."""
+    empty = spark.createDataFrame([], schema)
+    folder = f"{shared_folder(spark)}/sqlite-{uuid.uuid4().hex}"
+    empty.write.parquet(folder)
     with sqlite3.connect(file) as db:
-        quoted = ", ".join(f'"{n}"' for n in names)
-        return spark.createDataFrame(db.execute(f'SELECT {quoted} FROM "{table}"').fetchall(), schema)
+        quoted = ", ".join(f'"{n}"' for n in empty.columns)
+        rows = db.execute(f'SELECT {quoted} FROM "{table}"')
+        while batch := rows.fetchmany(batch_rows):
+            spark.createDataFrame(batch, schema).write.mode("append").parquet(folder)
+    return spark.read.schema(empty.schema).parquet(folder)
