@@ -81,20 +81,45 @@ def in_order(df: DataFrame, by: list[str], order: list[str], size: str, step, na
 
 
 def fill_bins(df: DataFrame, by: list[str], size: str, order: list[str], limit: float, name: str = "bin") -> DataFrame:
-    """A bin for each row: rows go in order to the same bin until one would pass the limit and begins the next.
+    """(by, order, name): rows go in order to the same bin until one would pass the limit and begins the next.
 
-    The rule depends on all rows before, so a group's rows are folded in order, in one JVM aggregate a group.
+    No task folds a group. Every row knows which one would begin the next bin if it began one itself: the first at which the
+    running total is more than the limit ahead, found by counting totals in ranges. From a group's first row such steps are
+    followed in jumps that double. Sizes are 0 or more (null: 0), and their totals exact, as those of whole numbers are.
     """
-    listed = F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("double").alias("__size"))))
-    zero = F.struct(F.lit(0).cast("bigint").alias("bin"), F.lit(0.0).alias("held"), F.array().cast("array<bigint>").alias("bins"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = (s["held"] + x["__size"] > limit) & (s["held"] > 0)
-        bin_ = s["bin"] + new.cast("bigint")
-        return F.struct(bin_.alias("bin"), F.when(new, x["__size"]).otherwise(s["held"] + x["__size"]).alias("held"), F.concat(s["bins"], F.array(bin_)).alias("bins"))
-
-    rows = df.groupBy(*by).agg(listed.alias("__rows")).withColumn("__bins", F.aggregate("__rows", zero, step)["bins"])
-    return rows.select(*by, F.explode(F.arrays_zip("__rows", "__bins")).alias("z")).select(*by, *[F.col(f"z.__rows.{o}").alias(o) for o in order], F.col("z.__bins").alias(name))
+    rows = df.select(*by, *order, F.coalesce(F.col(size).cast("double"), F.lit(0.0)).alias("__size"))
+    rows = cut(running(rows.withColumn("__one", F.lit(1.0)), by, order, {"__total": "__size", "__i": "__one"}))
+    rows = rows.withColumn("__i", F.col("__i").cast("bigint") - 1)
+    # How many totals of the group are no greater than a row's start, and than its start and the limit?
+    start = F.col("__total") - F.col("__size")
+    asked = F.explode(F.array(*[F.struct(F.lit(what).alias("what"), at.alias("at")) for what, at in enumerate([F.col("__total"), start, start + F.lit(float(limit))])]))
+    totals = rows.select(*by, "__i", asked.alias("__a")).select(*by, "__i", "__a.what", "__a.at").withColumn("__is", (F.col("what") == 0).cast("double"))
+    found = running(totals, by, ["at", "what", "__i"], {"__n": "__is"}).where("what > 0")
+    # A bin takes rows while it holds nothing, so its next can't begin before the row after the first with a size.
+    jump = found.groupBy(*by, "__i").agg(F.max(F.col("__n") + F.when(F.col("what") == 1, 1).otherwise(0)).cast("bigint").alias("__next"))
+    jump = cut(jump)
+    begun = cut(rows.where("__i = 0").select(*by, "__i"))
+    last = rows.agg(F.max("__i")).first()[0]
+    reach = 1
+    while last is not None and reach <= last:
+        ahead = begun.join(_keyed(jump, by), _same(by, "__i")).select(*by, F.col("__next").alias("__i"))
+        begun = cut(begun.unionByName(ahead))
+        jump = cut(jump.join(_keyed(jump, by, "__further"), _same(by, "__next")).select(*by, "__i", F.col("__further").alias("__next")))
+        reach *= 2
+        if jump.isEmpty():
+            break
+    first = begun.select(*by, F.col("__i")).distinct().withColumn("__next", F.lit(1.0))
+    marked = rows.join(_keyed(first, by, "__begins"), _same(by, "__i"), "left").withColumn("__begins", F.coalesce("__begins", F.lit(0.0)))
+    binned = running(marked.select(*by, *order, "__begins"), by, order, {name: "__begins"})
+    return binned.select(*by, *order, (F.col(name) - 1).cast("bigint").alias(name))
+
+
+def _keyed(rows: DataFrame, by: list[str], as_: str = "__next") -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__i").alias("__at"), F.col("__next").alias(as_))
+
+
+def _same(by: list[str], i: str) -> Column:
+    return reduce(and_, [F.col(c).eqNullSafe(F.col(f"__k{k}")) for k, c in enumerate(by)], F.col(i) == F.col("__at"))
 
 
 def flushes(df: DataFrame, by: list[str], size: str, order: list[str], most_rows: int, most_size: float, name: str = "flush") -> DataFrame:
@@ -147,6 +172,17 @@ def previous(rows: DataFrame, by: list[str], order: list[str], value: str, name:
     return _with_ends(inside, ends, by).withColumn(name, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col(name))).drop("__range", "__first", "__carry")
 
 
+def running(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """rows with running totals (name: column) in their group, the row itself included, summed in ranges and carried on."""
+    parts = _in_ranges(rows, [*by, *order])
+    ends = parts.groupBy("__range", *by).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("__range", *by, F.struct(*[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(n) for n in sums]).alias("__carry"))
+    w = Window.partitionBy("__range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = _with_ends(parts.withColumns({n: F.sum(c).over(w) for n, c in sums.items()}), ends, by)
+    return inside.withColumns({n: F.col(n) + F.col(f"__carry.{n}") for n in sums}).drop("__range", "__carry")
+
+
 def numbered_within(rows: DataFrame, by: list[str], order: list[str], name: str = "number") -> DataFrame:
     """rows with their place (from 0) in their group, counted within ranges and carried on from one range to the next."""
     parts = _in_ranges(rows, [*by, *order])

@@ -454,3 +454,17 @@ def test_a_view_is_the_last_of_each_key(spark, tmp_path):
     for compact in (1, 3, 100):
         got = views.to_view(views.source(spark, str(tmp_path / "s")), ["k"], "at", compact)
         assert sorted(map(tuple, got.collect())) == rows[-7:][-(60 % 7) :] + rows[-7 : -(60 % 7)]
+
+
+def test_bins_are_those_of_a_fold(spark):
+    rows = [(g, k, float((k * 7919 + 13 * len(g or "")) % 23 if k % 5 else 0)) for g in ("a", "hot", None) for k in range(80 if g == "hot" else 9)]
+    rows += [("z", 0, 0.0), ("z", 1, 50.0), ("z", 2, 1.0), ("z", 3, 0.0), ("y", 0, None)]
+    want, state = {}, {}
+    for g, k, size in rows:
+        at, held = state.get(g, (0, 0.0))
+        size = size or 0.0
+        at, held = (at + 1, size) if held + size > 30 and held > 0 else (at, held + size)
+        state[g], want[g, k] = (at, held), at
+    df = spark.createDataFrame(rows, "g string, k int, size double")
+    assert {(r["g"], r["k"]): r["bin"] for r in sequence.fill_bins(df, ["g"], "size", ["k"], 30).collect()} == want
+    assert sequence.fill_bins(df.limit(0), ["g"], "size", ["k"], 30).count() == 0
