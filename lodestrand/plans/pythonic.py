@@ -6,7 +6,7 @@ import hmac
 import uuid
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -16,7 +16,7 @@ from lodestrand.functions.hashing import content_hash
 from lodestrand.functions.storage import shared_folder
 from lodestrand.functions.text import trigram_jaccard
 from lodestrand.functions.vectors import cosine, l2, unit
-from lodestrand.operators import blocked, graph, search
+from lodestrand.operators import blocked, search
 from lodestrand.operators import pythonic as py
 from lodestrand.operators import schemas
 from lodestrand.registry import query
@@ -280,21 +280,26 @@ def pca_reduce(spark, d):
 
 @query()
 def lsh_search(spark, d):
-    rows = vectors(spark, d).select("vec_id", array_to_vector(unit(F.col("vector"))).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.5, numHashTables=6, seed=3).fit(rows)
-    key = rows.where("vec_id = 0").first()["features"]
-    return model.approxNearestNeighbors(rows, key, 10).select("vec_id", F.round(1 - F.col("distCol") * F.col("distCol") / 2, 6).alias("score"))
+    """Every 50th vector against all others by sign hashing: those that share all three bits of one of 16 tables are compared."""
+    rows = vectors(spark, d)
+    return blocked.top_k(_asked(rows), rows, 10, candidates=blocked.colliding(16, 3))
 
 
 @query()
 def ivf_search(spark, d):
-    """Cells by k-means on unit vectors; only the ten nearest cells to the query are searched."""
-    rows = vectors(spark, d).select("vec_id", "vector", array_to_vector(unit(F.col("vector"))).alias("features"))
-    model = KMeans(k=16, seed=7, maxIter=10).fit(rows.select("features"))
-    asked = rows.where("vec_id = 0").first()["vector"]
-    cells = sorted(range(len(model.clusterCenters())), key=lambda k: -float(model.clusterCenters()[k].dot(asked)))[:10]
-    near = model.transform(rows).where(F.col("prediction").isin(cells))
-    return search.top_k(search.scored(near, asked), 10, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+    """Every 50th vector against all others in cells by k-means, learnt from about 20,000 rows; the 13 nearest of 16 cells are searched.
+
+    The vectors are random directions, which have no clusters, so a query's nearest lie in many cells.
+    """
+    rows = vectors(spark, d)
+    share = min(1.0, 20_000 / max(1, rows.count()))
+    some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    model = KMeans(k=16, seed=7, maxIter=10).fit(some.select(array_to_vector(unit(F.col("vector"))).alias("features")))
+    return blocked.top_k(_asked(rows), rows, 10, candidates=blocked.probing(model.clusterCenters(), 13))
+
+
+def _asked(rows):
+    return rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("vector").alias("q_vector"))
 
 
 @query()

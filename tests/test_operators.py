@@ -468,3 +468,12 @@ def test_bins_are_those_of_a_fold(spark):
     df = spark.createDataFrame(rows, "g string, k int, size double")
     assert {(r["g"], r["k"]): r["bin"] for r in sequence.fill_bins(df, ["g"], "size", ["k"], 30).collect()} == want
     assert sequence.fill_bins(df.limit(0), ["g"], "size", ["k"], 30).count() == 0
+
+
+@pytest.mark.parametrize("name", ["lsh_search", "ivf_search"])
+def test_recall_of_approximate_search(spark, sf_more, name):
+    rows = spark.read.parquet(f"{sf_more}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("vector").alias("q_vector"))
+    want = {(r["q_id"], r["vec_id"]) for r in blocked.top_k(queries, rows, 10).collect()}
+    got = {(r["q_id"], r["vec_id"]) for r in catalogue.QUERIES[name](spark, sf_more).collect()}
+    assert len(want & got) / len(want) >= 0.9
