@@ -9,6 +9,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -20,8 +21,8 @@ ED25519 = bytes([0xED, 0x01])
 
 #: A safe prime's group of squares: P = 2 Q + 1, with a generator of the subgroup of order Q.
 P, Q, G = 2039, 1019, 4
-#: Two primes whose product is the modulus of the additive encryption.
-PAILLIER = (1000003, 1000033)
+#: Two primes whose product, the modulus of the additive encryption, is above 2**64, so that any bigint sum can be opened.
+PAILLIER = (4294967311, 4294967357)
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:
@@ -76,7 +77,7 @@ def _draw(*parts: object, below: int) -> int:
 
 
 def sealed_sum(rows: DataFrame, by: str, id_col: str, value_col: str, salt: str) -> DataFrame:
-    """(by, total): each group's sum, found by multiplying sealed values and opening the product only.
+    """(by, total): each group's sum, found by multiplying sealed values and opening the product only; nulls as in SQL's sum.
 
     Products are taken within each task first, so a group's values are never gathered.
     """
@@ -84,23 +85,35 @@ def sealed_sum(rows: DataFrame, by: str, id_col: str, value_col: str, salt: str)
     n, phi = p * q, (p - 1) * (q - 1)
     square = n * n
 
-    def seal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blind(i: object) -> int:
+        r, again = _draw(salt, i, below=n - 2) + 2, 0
+        while r % p == 0 or r % q == 0:  # it has no inverse, and no product that it is in can be opened
+            again += 1
+            r = _draw(salt, i, again, below=n - 2) + 2
+        return pow(r, n, square)
+
+    def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for pdf in batches:
-            for g, i, v in zip(pdf[by], pdf["id"], pdf["value"], strict=True):
-                r = _draw(salt, i, below=n - 2) + 2
-                held[g] = held.get(g, 1) * (1 + n * int(v)) * pow(r, n, square) % square
-        yield pd.DataFrame({by: list(held), "sealed": [str(x) for x in held.values()]})
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for g, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                product = held.setdefault(g, None)
+                if v is not None:
+                    held[g] = (1 if product is None else product) * (1 + n * int(v)) * blind(i) % square
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array([None if x is None else str(x) for x in held.values()], pa.string())], [by, "sealed"])
 
     def opened(pdf: pd.DataFrame) -> pd.DataFrame:
-        product = 1
-        for x in pdf["sealed"]:
-            product = product * int(x) % square
-        total = (pow(product, phi, square) - 1) // n * pow(phi, -1, n) % n
-        return pd.DataFrame({by: pdf[by].iloc[:1], "total": [total]})
+        product = None
+        for x in pdf["sealed"].dropna():
+            product = (1 if product is None else product) * int(x) % square
+        total = None if product is None else (pow(product, phi, square) - 1) // n * pow(phi, -1, n) % n
+        total = total - n if total is not None and total > n // 2 else total
+        return pd.DataFrame({by: pdf[by].iloc[:1], "total": pd.array([total], "Int64")})
 
     kind = rows.schema[by].dataType.simpleString()
-    sealed = rows.select(by, F.col(id_col).alias("id"), F.col(value_col).alias("value")).mapInPandas(seal, f"{by} {kind}, sealed string")
+    sealed = rows.select(by, F.col(id_col).alias("id"), F.col(value_col).cast("bigint").alias("value")).mapInArrow(seal, f"{by} {kind}, sealed string")
     return sealed.groupBy(by).applyInPandas(opened, f"{by} {kind}, total bigint")
 
 

@@ -39,6 +39,12 @@ def test_sealed_sums_and_proofs(spark):
     assert not any(r["valid"] for r in wrong.collect())
 
 
+def test_sealed_sums_of_nulls_large_numbers_and_tasks_without_rows(spark):
+    rows = [(1, "a", 2**50), (2, "a", None), (3, "b", None), (4, "c", -7), (5, "c", 3), (6, None, 5)]
+    df = spark.createDataFrame(rows, "id bigint, g string, v bigint").repartition(16)
+    assert {r["g"]: r["total"] for r in proofs.sealed_sum(df, "g", "id", "v", "s").collect()} == {"a": 2**50, "b": None, "c": -4, None: 5}
+
+
 def test_older_layouts():
     rows = [("TEXT", b"one"), ("EMBD", b""), ("IMAG", b"x" * 1000)]
     data = legacy.encode(rows)
