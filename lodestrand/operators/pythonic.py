@@ -25,6 +25,9 @@ CODECS = {"zlib": (zlib.compress, zlib.decompress), "gzip": (gzip.compress, gzip
 #: A prime above 2**127, the field of shared secrets.
 PRIME = 2**127 - 1
 
+#: Scores of attention that a task holds at once: 32 MB.
+SCORES = 1 << 22
+
 
 def codec_sizes(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, codec, original, compressed, intact) for each row and codec."""
@@ -158,21 +161,29 @@ def ward(rows: DataFrame, by: str, clusters: int) -> DataFrame:
     return rows.select(by, "vec_id", "vector").groupBy(by).applyInPandas(run, f"{by} {rows.schema[by].dataType.simpleString()}, vec_id bigint, cluster bigint")
 
 
-def multi_head(rows: DataFrame, by: str, heads: int = 4, seed: int = 42) -> DataFrame:
-    """(by, vec_id, attended) within bounded groups: multi-head attention with seeded projections, the same in every group."""
+def multi_head(rows: DataFrame, by: str, heads: int = 4, seed: int = 42, scores: int = SCORES) -> DataFrame:
+    """(by, vec_id, attended) within groups: multi-head attention with seeded projections, the same in every group.
+
+    A group's vectors are held by one task, but of its scores only some rows of one head at a time, ``scores`` or a row.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", ignore_index=True)
         x = np.stack([np.asarray(v, float) for v in pdf["vector"]])
-        d = x.shape[1]
+        n, d = x.shape
+        wide, step = d // heads, max(1, scores // n)
         rng = np.random.default_rng(seed)
         q, k, v, o = (rng.uniform(-1, 1, (d, d)) * np.sqrt(6 / (2 * d)) for _ in range(4))
-        cut = lambda m: (x @ m).reshape(len(x), heads, d // heads).transpose(1, 0, 2)
-        score = cut(q) @ cut(k).transpose(0, 2, 1) / np.sqrt(d // heads)
-        weight = np.exp(score - score.max(-1, keepdims=True))
-        weight /= weight.sum(-1, keepdims=True)
-        out = (weight @ cut(v)).transpose(1, 0, 2).reshape(len(x), d) @ o
-        return pd.DataFrame({by: pdf[by], "vec_id": pdf["vec_id"], "attended": list(out)})
+        q, k, v = x @ q, x @ k, x @ v
+        out = np.empty_like(x)
+        for head in (slice(h * wide, (h + 1) * wide) for h in range(heads)):
+            for first in range(0, n, step):
+                part = slice(first, first + step)
+                weight = q[part, head] @ k[:, head].T / np.sqrt(wide)
+                weight -= weight.max(-1, keepdims=True)
+                np.exp(weight, out=weight)
+                out[part, head] = weight @ v[:, head] / weight.sum(-1, keepdims=True)
+        return pd.DataFrame({by: pdf[by], "vec_id": pdf["vec_id"], "attended": list(out @ o)})
 
     return rows.select(by, "vec_id", "vector").groupBy(by).applyInPandas(run, f"{by} {rows.schema[by].dataType.simpleString()}, vec_id bigint, attended array<double>")
 

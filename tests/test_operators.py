@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from lodestrand import catalogue
 from lodestrand.artifact import Artifact, quick_create, quick_read, quick_verify
@@ -327,6 +328,19 @@ def test_ward_joins_what_is_near(spark):
     assert [r["cluster"] for r in pythonic.ward(df, "label", 3).orderBy("vec_id").collect()] == [0, 0, 1, 1, 2]
 
 
+def test_attention_of_a_large_group_holds_few_scores_at_once(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), F.lit("g").alias("label")).where("vec_id < 90")
+    got = {r["vec_id"]: r["attended"] for r in pythonic.multi_head(rows, "label", scores=700).collect()}
+    x = np.array([r["vector"] for r in rows.orderBy("vec_id").collect()])
+    rng = np.random.default_rng(42)
+    q, k, v, o = (x @ m if at < 3 else m for at, m in enumerate(rng.uniform(-1, 1, (64, 64)) * np.sqrt(6 / 128) for _ in range(4)))
+    want = []
+    for h in range(0, 64, 16):
+        weight = np.exp(q[:, h : h + 16] @ k[:, h : h + 16].T / 4)
+        want.append(weight / weight.sum(1, keepdims=True) @ v[:, h : h + 16])
+    assert np.allclose([got[i] for i in range(90)], np.hstack(want) @ o, atol=1e-12)
+
+
 def test_artifact_and_files(spark, tmp_path):
     made = Artifact.create(spark, "a").add_text("one").add_embeddings([[1, 2]])
     assert made.size == 2 and [r["data"] for r in made.texts().collect()] == ["one"] and made.verify().count() == 0
