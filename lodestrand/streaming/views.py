@@ -72,19 +72,22 @@ def without_replays(events: DataFrame, nonce: list[str], within: str) -> DataFra
 
 
 def limited(events: DataFrame, key: str, rate: float, burst: float) -> DataFrame:
-    """A token bucket for each key as keyed state: (key, event_id, allowed)."""
+    """A token bucket for each key as keyed state: (key, event_id, allowed).
+
+    A key's rows of a micro-batch come in several pieces; they are put together before they are taken in order of time.
+    What comes in a later micro-batch is taken later.
+    """
 
     def run(who, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tokens, last = state.get if state.exists else (burst, None)
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            allowed = []
-            for t in pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6:
-                tokens = min(burst, tokens + (0.0 if last is None else max(0.0, t - last) * rate))
-                last = t
-                allowed.append(tokens >= 1)
-                tokens -= float(allowed[-1])
-            yield pd.DataFrame({key: pdf[key], "event_id": pdf["event_id"], "allowed": allowed})
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
+        allowed = []
+        for t in pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6:
+            tokens = min(burst, tokens + (0.0 if last is None else max(0.0, t - last) * rate))
+            last = t
+            allowed.append(tokens >= 1)
+            tokens -= float(allowed[-1])
+        yield pd.DataFrame({key: pdf[key], "event_id": pdf["event_id"], "allowed": allowed})
         state.update((tokens, last))
 
     return events.groupBy(key).applyInPandasWithState(run, f"{key} bigint, event_id bigint, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)

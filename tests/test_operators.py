@@ -523,6 +523,18 @@ def test_replays_in_files_that_overlap_and_in_batches(spark, sf, tmp_path):
     assert sorted(verdicts.values()) == sorted(whole.values()) and verdicts[1] == "early" and verdicts[6] == "late"
 
 
+def test_rate_limits_over_files_that_overlap_and_in_pieces(spark, sf, tmp_path):
+    want = _split_events(spark, sf, tmp_path)("streaming_rate_limit")
+    assert {x.rsplit(", ", 1)[1] for x in want} == {"True)", "False)"}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = catalogue.QUERIES["streaming_rate_limit"](spark, str(tmp_path)).select("user_id", "event_id", "allowed").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(str(tuple(r)) for r in got) == want
+
+
 def test_a_view_is_the_last_of_each_key(spark, tmp_path):
     from lodestrand.streaming import views
 
