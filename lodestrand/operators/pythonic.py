@@ -138,29 +138,81 @@ def diverse(candidates: DataFrame, k: int, balance: float = 0.5) -> DataFrame:
 
 
 def ward(rows: DataFrame, by: str, clusters: int) -> DataFrame:
-    """(by, vec_id, cluster) for each group of a bounded number of vectors: agglomeration by least growth of the squared error, by nearest-neighbour updates; clusters are numbered by their least id."""
+    """(by, vec_id, cluster) for each group: agglomeration by least growth of the squared error; clusters are numbered by their least id.
+
+    Copies are joined first; then chains of nearest neighbours give the hierarchy from centroids alone, which is cut. Memory
+    grows with a group's rows, time with their square; equal growths may be taken in another order than one by one.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", ignore_index=True)
-        v = np.stack([np.asarray(x, float) for x in pdf["vector"]])
-        n = len(v)
-        size, label = np.ones(n), np.arange(n)
-        gap = ((v[:, None] - v[None]) ** 2).sum(-1) / 2
-        np.fill_diagonal(gap, np.inf)
-        for _ in range(max(0, n - clusters)):
-            i, j = sorted(np.unravel_index(gap.argmin(), gap.shape))
-            a, b, d = size[i], size[j], gap[i, j]
-            merged = ((a + size) * gap[i] + (b + size) * gap[j] - size * d) / (a + b + size)
-            gap[i], gap[:, i] = merged, merged
-            gap[i, i], gap[j], gap[:, j] = np.inf, np.inf, np.inf
-            size[i] += b
-            label[label == j] = i
+        v = np.stack([np.asarray(x, float) for x in pdf["vector"]]) + 0.0
+        _, first, of, counts = np.unique(v, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        first_copy = first[of.reshape(-1)]
+        if len(first) <= clusters:
+            label = np.arange(len(v))
+            copies = np.flatnonzero(first_copy != label)
+            copies = copies[np.argsort(first_copy[copies], kind="stable")][: max(0, len(v) - clusters)]
+            label[copies] = first_copy[copies]
+        else:
+            parent = np.arange(len(v))
+            merges = sorted(_ward_chain(v[first], counts.astype(float)), key=lambda m: m[0])
+            for _, a, b in merges[: len(first) - clusters]:
+                roots = []
+                for x in (first[a], first[b]):
+                    while parent[x] != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    roots.append(x)
+                parent[max(roots)] = min(roots)
+            label = parent[first_copy]
+            while not np.array_equal(label, parent[label]):
+                label = parent[label]
         names = {x: k for k, x in enumerate(dict.fromkeys(label))}
         return pd.DataFrame({by: pdf[by], "vec_id": pdf["vec_id"], "cluster": [names[x] for x in label]})
 
     return rows.select(by, "vec_id", "vector").groupBy(by).applyInPandas(run, f"{by} {rows.schema[by].dataType.simpleString()}, vec_id bigint, cluster bigint")
 
 
+def _ward_chain(points: np.ndarray, weight: np.ndarray) -> list[tuple[float, int, int]]:
+    """(growth, a, b) of each merge of weighted points, by chains of nearest neighbours; a and b are any points of the two clusters."""
+    c, w = points - points.mean(axis=0), weight.copy()
+    square, point, height, alive = (c**2).sum(axis=1), np.arange(len(c)), np.zeros(len(c)), np.ones(len(c), bool)
+    left, chain, merges = len(c), [], []
+
+    def growth(i: int, others: np.ndarray) -> np.ndarray:
+        return ((c[others] - c[i]) ** 2).sum(axis=1) * (w[others] * w[i] / (w[others] + w[i]))
+
+    while left > 1:
+        if 2 * left < len(c):
+            place = np.cumsum(alive) - 1
+            chain = [place[x] for x in chain]
+            c, w, square, point, height, alive = (x[alive] for x in (c, w, square, point, height, alive))
+        if not chain:
+            chain = [int(alive.argmax())]
+        i = chain[-1]
+        rough = np.maximum(square + square[i] - 2 * (c @ c[i]), 0) * (w * w[i] / (w + w[i]))
+        rough[~alive] = np.inf
+        rough[i] = np.inf
+        close = np.flatnonzero(rough <= rough.min() * (1 + 1e-9) + 1e-13 * square.max() * w[i])
+        exact = growth(i, close)
+        j, least = close[exact.argmin()], exact.min()
+        before = growth(i, np.array(chain[-2:-1]))[0] if len(chain) > 1 else np.inf
+        if least < before and j not in chain:
+            chain.append(j)
+            continue
+        j = chain[-2]
+        del chain[-2:]
+        height[j] = max(before, height[i], height[j])
+        merges.append((height[j], point[i], point[j]))
+        c[j] = (w[i] * c[i] + w[j] * c[j]) / (w[i] + w[j])
+        w[j] += w[i]
+        square[j] = c[j] @ c[j]
+        alive[i] = False
+        left -= 1
+    return merges
+
+
 def multi_head(rows: DataFrame, by: str, heads: int = 4, seed: int = 42, scores: int = SCORES) -> DataFrame:
     """(by, vec_id, attended) within groups: multi-head attention with seeded projections, the same in every group.
 

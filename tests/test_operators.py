@@ -364,6 +364,31 @@ def test_ward_joins_what_is_near(spark):
     assert [r["cluster"] for r in pythonic.ward(df, "label", 3).orderBy("vec_id").collect()] == [0, 0, 1, 1, 2]
 
 
+def _greedy(v, clusters):
+    parts = [[k] for k in range(len(v))]
+    growth = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((v[a].mean(axis=0) - v[b].mean(axis=0)) ** 2).sum()
+    while len(parts) > clusters:
+        _, i, j = min((growth(parts[i], parts[j]), i, j) for i in range(len(parts)) for j in range(i + 1, len(parts)))
+        parts[i] += parts.pop(j)
+    return {k: n for n, p in enumerate(sorted(parts, key=min)) for k in p}
+
+
+def test_ward_of_a_group_without_all_gaps(spark):
+    rng = np.random.default_rng(4)
+    for clusters in (1, 3, 9):
+        v = rng.normal(size=(50, 3))
+        v[10:20] = v[3]
+        v[30:33] = v[4]
+        df = spark.createDataFrame([("g", k, x.tolist()) for k, x in enumerate(v)], "label string, vec_id bigint, vector array<double>")
+        assert {r["vec_id"]: r["cluster"] for r in pythonic.ward(df, "label", clusters).collect()} == _greedy(v, clusters)
+    same = spark.createDataFrame([("g", k, [1.0]) for k in range(5)], "label string, vec_id bigint, vector array<double>")
+    assert [r["cluster"] for r in pythonic.ward(same, "label", 3).orderBy("vec_id").collect()] == [0, 0, 0, 1, 2]
+    some = F.col("id") % 300
+    many = spark.range(40_000).select(F.lit("g").alias("label"), F.col("id").alias("vec_id"), F.array(*[F.sin(some * k) for k in range(1, 9)]).alias("vector"))
+    found = pythonic.ward(many, "label", 3).groupBy((F.col("vec_id") % 300).alias("k")).agg(F.count_distinct("cluster").alias("n"), F.count("*").alias("rows"))
+    assert found.where("n > 1").count() == 0 and found.agg(F.sum("rows")).first()[0] == 40_000
+
+
 def test_attention_of_a_large_group_holds_few_scores_at_once(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), F.lit("g").alias("label")).where("vec_id < 90")
     got = {r["vec_id"]: r["attended"] for r in pythonic.multi_head(rows, "label", scores=700).collect()}
